@@ -1,0 +1,5 @@
+"""Nothing to offer yet: every job of this engine reads a bounded input once.
+
+The folder keeps the package layout; unbounded sources are not part of the
+engine's contract (inputs are sized when the job starts).
+"""
