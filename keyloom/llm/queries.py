@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import bpe
+from keyloom.llm import bpe, licenses, mixing, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -30,3 +30,22 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 @query
 def op10_bpe(spark, sf_dir):
     return bpe.digests(_table(spark, sf_dir, "documents"), vocabulary())
+
+
+@query
+def op7_mix(spark, sf_dir):
+    rows = _table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.schedule(rows)
+
+
+@query
+def op6_licenses(spark, sf_dir):
+    return licenses.scan(_table(spark, sf_dir, "documents")).drop("matches")
+
+
+ORACLE["op6_licenses"] = licenses.ORACLE_SQL
+
+
+@query
+def op1_urls(spark, sf_dir):
+    return urls.judge(_table(spark, sf_dir, "pages"))
