@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import bpe, licenses, mixing, urls
+from keyloom.llm import bpe, html_text, licenses, mixing, quality, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -49,3 +49,15 @@ ORACLE["op6_licenses"] = licenses.ORACLE_SQL
 @query
 def op1_urls(spark, sf_dir):
     return urls.judge(_table(spark, sf_dir, "pages"))
+
+
+@query
+def op4_quality(spark, sf_dir):
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    machine = quality.train(docs, _table(spark, sf_dir, "labels"))
+    return quality.score(docs, machine).select("doc_id", "held_out", "score", "predicted")
+
+
+@query
+def op8_html(spark, sf_dir):
+    return html_text.extract(_table(spark, sf_dir, "pages"))
