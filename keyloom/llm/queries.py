@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import bpe, html_text, licenses, mixing, quality, urls
+from keyloom.llm import bpe, ego_join, html_text, licenses, mixing, quality, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -61,3 +61,8 @@ def op4_quality(spark, sf_dir):
 @query
 def op8_html(spark, sf_dir):
     return html_text.extract(_table(spark, sf_dir, "pages"))
+
+
+@query
+def op2_near_vectors(spark, sf_dir):
+    return ego_join.near_duplicates(_table(spark, sf_dir, "embeddings"))
