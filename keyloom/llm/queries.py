@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import bpe, ego_join, html_text, kmeans_tree, licenses, mixing, quality, urls
+from keyloom.llm import bpe, ego_join, html_text, kmeans_tree, licenses, mixing, quality, substrings, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -71,3 +71,8 @@ def op2_near_vectors(spark, sf_dir):
 @query
 def op3_neighbours(spark, sf_dir):
     return kmeans_tree.search(_table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op9_substrings(spark, sf_dir):
+    return substrings.dedup(_table(spark, sf_dir, "documents"), texts=False)
