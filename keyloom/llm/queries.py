@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import bpe, ego_join, html_text, kmeans_tree, licenses, mixing, quality, substrings, urls
+from keyloom.llm import bpe, ego_join, html_text, kmeans_tree, licenses, mixing, quality, signature_trees, substrings, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -76,3 +76,8 @@ def op3_neighbours(spark, sf_dir):
 @query
 def op9_substrings(spark, sf_dir):
     return substrings.dedup(_table(spark, sf_dir, "documents"), texts=False)
+
+
+@query
+def op5_similar(spark, sf_dir):
+    return signature_trees.similar(_table(spark, sf_dir, "documents"))
