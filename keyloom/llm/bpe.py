@@ -20,6 +20,7 @@ import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -175,6 +176,13 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """The path of an installed public vocabulary."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
 def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
     """All columns of ``df`` and ``ids array<int>``, ``decoded string``.
 
@@ -189,7 +197,9 @@ def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
         enc = encoder(path)
         for b in batches:
             got = [enc.strings(t or "") for t in b.column(text).to_pylist()]
-            ids = pa.array([list(map(int, i.split(" "))) if i else [] for i, _ in got], pa.list_(pa.int32()))
+            flat = [np.array(i.split(" "), np.int32) if i else np.zeros(0, np.int32) for i, _ in got]
+            ends = np.cumsum([0, *map(len, flat)]).astype(np.int32)
+            ids = pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int32), *flat]))
             arrays = [*b.columns, ids, pa.array([d for _, d in got], pa.string())]
             yield pa.RecordBatch.from_arrays(arrays, names=[*b.schema.names, "ids", "decoded"])
 

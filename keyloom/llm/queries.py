@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from keyloom.llm import bpe, ego_join, html_text, kmeans_tree, licenses, mixing, quality, signature_trees, substrings, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -21,15 +22,9 @@ def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSessio
     return fn
 
 
-def vocabulary(name: str = "word_bpe_49k.json") -> str:
-    import public_tokenizers
-
-    return str(public_tokenizers.path(name))
-
-
 @query
 def op10_bpe(spark, sf_dir):
-    return bpe.digests(_table(spark, sf_dir, "documents"), vocabulary())
+    return bpe.digests(_table(spark, sf_dir, "documents"), bpe.vocabulary())
 
 
 @query
@@ -81,3 +76,8 @@ def op9_substrings(spark, sf_dir):
 @query
 def op5_similar(spark, sf_dir):
     return signature_trees.similar(_table(spark, sf_dir, "documents"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL is not None:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

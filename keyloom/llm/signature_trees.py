@@ -4,13 +4,17 @@ Texts link if the Jaccard similarity of their shingle sets is at least
 ``PERCENT`` / 100. The join is exact; nothing below drops a pair that qualifies.
 
 *Routing.* All of a corpus in one tree would leave every node pair near the root
-unpruned, so sets are first routed to cells. With tokens in one global order, two
-sets that link share a token among the ``n - ceil(t n) + 1`` first of each. The
-order is by frequency, rare first: tokens that many texts of a batch hold (shared
-passages) are counted over the corpus, and the ``FREQUENT`` most frequent, a
-bounded list, go last in order of their counts; other tokens are ordered by hash.
-The sets that meet at a token are a cell; equal cells are one, and a cell whose
-members all have the same larger home cell adds nothing and goes.
+unpruned, so sets are first routed to cells, by two prefix filters. Of ``n``
+tokens, ``n - ceil(t n)`` at most are missing in a linked set. With ``p(n) = n -
+ceil(t n) + 1``, two linked sets of ``m <= n`` tokens have ``p(m)`` in common among
+the ``2 p - 1`` of least hash of each. These are shuffled once, and counted: how
+many sets hold a token there. In order of that count, the first token in common
+is then among the first ``2 p(n) - p(m)`` of the larger set and ``p(m)`` of the
+smaller, where ``m >= ceil(t n)``; ``2 p(n) - p(ceil(t n))`` covers both. Tokens that no other set
+holds come first, so texts that only share a passage are left with nothing, and
+the passages of many texts come last. The sets that meet at a token are a cell;
+equal cells are one, and a cell whose members all have the same larger home cell
+adds nothing and goes.
 
 *Trees.* In a cell the sets, ordered by size, are the leaves of a tree of fan-out
 ``FAN``. A node holds the OR of its sets' token bitmaps and the range of their
@@ -31,7 +35,7 @@ of their tokens, and tokens are 64-bit hashes of shingles.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -44,8 +48,6 @@ from keyloom.llm.graph import components, min_labels
 from keyloom.llm.shingles import shingle_set
 
 PERCENT = 80
-FREQUENT = 1 << 18
-LOCAL, LEAST = 3, 8
 FAN, BLOCK = 8, 256
 HELD = 4_000_000
 _NO_KEY = -(1 << 63)
@@ -56,40 +58,16 @@ def _set_id(s: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(s.tobytes()) - (1 << 63)
 
 
-def _scan(docs: DataFrame, local: int) -> DataFrame:
-    """One pass over ``(k, t)``: rows ``(0, k, set id, size)`` of texts and ``(1, token, count, 0)`` of tokens frequent in a batch."""
+def _scan(docs: DataFrame) -> DataFrame:
+    """``(k, id, n)``: the set of each of the texts ``(k, t)`` and its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, sizes, seen = [], [], {}
-            for t in b.column("t").to_pylist():
-                s = shingle_set(t)
-                i = _set_id(s)
-                ids.append(i)
-                sizes.append(len(s))
-                seen.setdefault(i, s)
-            tokens, n = np.unique(np.concatenate([np.zeros(0, _U), *seen.values()]), return_counts=True)
-            tokens, n = tokens[n >= local], n[n >= local]
-            rows, more = b.num_rows, len(tokens)
-            cols = [
-                np.concatenate([np.zeros(rows, np.int32), np.ones(more, np.int32)]),
-                np.concatenate([b.column("k").to_numpy(), tokens.view(np.int64)]),
-                np.concatenate([np.array(ids, np.int64), n.astype(np.int64)]),
-                np.concatenate([np.array(sizes, np.int64), np.zeros(more, np.int64)]),
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], names=["kind", "a", "b", "c"])
-
-    return docs.select("k", "t").mapInArrow(run, "kind int, a bigint, b bigint, c bigint")
-
-
-def in_order(s: np.ndarray, frequent: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """The set in the global order: tokens not listed by hash, then the listed by count and hash."""
-    if not len(frequent) or not len(s):
-        return s
-    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-    listed = frequent[at] == s
-    common = s[listed]
-    return np.concatenate([s[~listed], common[np.lexsort((common, count[at[listed]]))]])
+            sets = map(shingle_set, b.column("t").to_pylist())
+            ids, sizes = zip(*((_set_id(s), len(s)) for s in sets)) if b.num_rows else ((), ())
+            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())], names=["k", "id", "n"])
+
+    return docs.select("k", "t").mapInArrow(run, "k bigint, id bigint, n bigint")
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -97,13 +75,14 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def _routed(docs: DataFrame, frequent: np.ndarray, count: np.ndarray, percent: int) -> DataFrame:
-    """``(token, set id)`` for the first tokens of every set."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast((frequent, count))
+def _prefix(n: int, percent: int) -> int:
+    return n - least_overlap(n, percent) + 1
+
+
+def _first_tokens(docs: DataFrame, percent: int) -> DataFrame:
+    """``(token, id)``: the ``2 p - 1`` tokens of least hash of every set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed, counts = shared.value
         for b in batches:
             seen: set[int] = set()
             tokens, ids = [], []
@@ -112,7 +91,7 @@ def _routed(docs: DataFrame, frequent: np.ndarray, count: np.ndarray, percent: i
                 i = _set_id(s)
                 if len(s) and i not in seen:
                     seen.add(i)
-                    first = in_order(s, listed, counts)[: len(s) - least_overlap(len(s), percent) + 1]
+                    first = s[: 2 * _prefix(len(s), percent) - 1]
                     tokens.append(first)
                     ids.append(np.full(len(first), i, np.int64))
             if tokens:
@@ -121,20 +100,10 @@ def _routed(docs: DataFrame, frequent: np.ndarray, count: np.ndarray, percent: i
     return docs.select("t").mapInArrow(run, "token bigint, id bigint")
 
 
-def _cells(routed: DataFrame, held_rows: int = HELD) -> DataFrame:
-    """``(cell, id)`` of sets that meet at a token; a cell is named by its members, one too long to hold by its token."""
-
-    def members(token: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
-        new = np.ones(len(token), bool)
-        new[1:] = (token[1:] != token[:-1]) | (ids[1:] != ids[:-1])
-        token, ids = token[new], ids[new]
-        start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
-        size = np.diff(np.append(start, len(token)))
-        many = np.flatnonzero(size > 1)
-        if len(many):
-            names = [_set_id(ids[start[i] : start[i] + size[i]]) for i in many]
-            keep = np.repeat(size > 1, size)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names, np.int64), size[many])), pa.array(ids[keep])], names=["cell", "id"])
+def _token_runs(
+    rows: DataFrame, schema: str, whole: Callable[[np.ndarray, np.ndarray], Iterator[pa.RecordBatch]], piece: Callable[[np.ndarray, np.ndarray], pa.RecordBatch], held_rows: int
+) -> DataFrame:
+    """Walk rows ``(token, id)`` in order: ``whole`` gets complete runs of tokens, ``piece`` pieces of a run too long to hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -142,24 +111,78 @@ def _cells(routed: DataFrame, held_rows: int = HELD) -> DataFrame:
         for b in batches:
             token, ids = np.concatenate([token, b.column("token").to_numpy()]), np.concatenate([ids, b.column("id").to_numpy()])
             if going_on is not None and (more := int(np.searchsorted(token, going_on, "right"))):
-                yield pa.RecordBatch.from_arrays([pa.array(token[:more]), pa.array(ids[:more])], names=["cell", "id"])
+                yield piece(token[:more], ids[:more])
                 token, ids = token[more:], ids[more:]
             if not len(token):
                 continue
             going_on = None
             cut = int(np.searchsorted(token, token[-1]))
             if cut:
-                yield from members(token[:cut], ids[:cut])
+                yield from whole(token[:cut], ids[:cut])
                 token, ids = token[cut:], ids[cut:]
             elif len(token) > held_rows:
                 going_on = token[0]
-                yield pa.RecordBatch.from_arrays([pa.array(token), pa.array(ids)], names=["cell", "id"])
+                yield piece(token, ids)
                 token, ids = token[:0], ids[:0]
         if len(token):
-            yield from members(token, ids)
+            yield from whole(token, ids)
+
+    return rows.repartition("token").sortWithinPartitions("token", "id").mapInArrow(run, schema)
+
+
+def _distinct(token: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows without repetitions (copies bring theirs again), and the start and length of each token's run."""
+    new = np.ones(len(token), bool)
+    new[1:] = (token[1:] != token[:-1]) | (ids[1:] != ids[:-1])
+    token, ids = token[new], ids[new]
+    start = np.flatnonzero(np.concatenate([[True], token[1:] != token[:-1]]))
+    return token, ids, start, np.diff(np.append(start, len(token)))
+
+
+def _shared(first: DataFrame, held_rows: int = HELD) -> DataFrame:
+    """``(id, token, df)`` of tokens that several sets hold; ``df`` of a run too long to hold is ``held_rows``."""
+    names = ["id", "token", "df"]
+
+    def whole(token: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        token, ids, _, size = _distinct(token, ids)
+        df = np.repeat(size, size)
+        keep = df > 1
+        if keep.any():
+            yield pa.RecordBatch.from_arrays([pa.array(ids[keep]), pa.array(token[keep]), pa.array(np.minimum(df[keep], held_rows))], names=names)
+
+    def piece(token: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        token, ids, _, _ = _distinct(token, ids)
+        return pa.RecordBatch.from_arrays([pa.array(ids), pa.array(token), pa.array(np.full(len(ids), held_rows))], names=names)
+
+    return _token_runs(first, "id bigint, token bigint, df bigint", whole, piece, held_rows)
+
+
+def _routed(shared: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """``(token, id)``: of the first tokens of each set those that fewest sets hold, as many as a link may need, less those that no other holds."""
+    own = shared.groupBy("id").agg(F.collect_set(F.struct("df", "token")).alias("own")).join(classes.select("id", "n"), "id")
+    least = lambda n: F.floor((n * percent + 99) / 100)
+    p = lambda n: n - least(n) + 1
+    total = F.least(F.col("n"), 2 * p(F.col("n")) - 1)
+    take = (2 * p(F.col("n")) - p(least(F.col("n"))) - (total - F.size("own"))).cast("int")
+    routed = own.filter(take > 0).select("id", F.explode(F.slice(F.array_sort("own"), F.lit(1), take)).alias("t"))
+    return routed.select(F.col("t.token").alias("token"), "id")
+
+
+def _cells(routed: DataFrame, held_rows: int = HELD) -> DataFrame:
+    """``(cell, id)`` of sets that meet at a token; a cell is named by its members, one too long to hold by its token."""
+
+    def members(token: np.ndarray, ids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        token, ids, start, size = _distinct(token, ids)
+        many = np.flatnonzero(size > 1)
+        if len(many):
+            names = [_set_id(ids[start[i] : start[i] + size[i]]) for i in many]
+            keep = np.repeat(size > 1, size)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.array(names, np.int64), size[many])), pa.array(ids[keep])], names=["cell", "id"])
+
+    def piece(token: np.ndarray, ids: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(token), pa.array(ids)], names=["cell", "id"])
 
-    ordered = routed.repartition("token").sortWithinPartitions("token", "id")
-    return ordered.mapInArrow(run, "cell bigint, id bigint")
+    return _token_runs(routed, "cell bigint, id bigint", members, piece, held_rows)
 
 
 def _size_class(n: Column, percent: int) -> Column:
@@ -355,7 +378,7 @@ def _batch(found: list[tuple]) -> pa.RecordBatch:
 
 
 def similar(
-    df: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = PERCENT, block: int = BLOCK, local: int = LOCAL, least: int = LEAST, frequent: int = FREQUENT
+    df: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = PERCENT, block: int = BLOCK
 ) -> DataFrame:
     """``key, n_shingles, n_similar, component_id`` for every row.
 
@@ -367,14 +390,9 @@ def similar(
     """
     bounded_batches(df.sparkSession)
     docs = df.select(F.coalesce(F.col(key).cast("bigint"), F.lit(_NO_KEY)).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    scanned = saved(_scan(docs, local))
-    sets = scanned.filter("kind = 0").select(F.col("a").alias("k"), F.col("b").alias("id"), F.col("c").alias("n"))
-    often = scanned.filter("kind = 1").groupBy(F.col("a").alias("token")).agg(F.sum("b").alias("n")).filter(F.col("n") >= least)
-    table = often.orderBy(F.desc("n"), "token").limit(frequent).toArrow()  # bounded: at most `frequent` rows
-    token, count = table.column("token").to_numpy().astype(np.int64).view(_U), table.column("n").to_numpy().astype(np.int64)
-    by = np.argsort(token)
+    sets = saved(_scan(docs))
     classes = saved(sets.filter("n > 0").groupBy("id").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("mult"), F.first("n").alias("n")))
-    cells = _cells(_routed(docs, token[by], count[by], percent))
+    cells = _cells(_routed(saved(_shared(_first_tokens(docs, percent))), classes, percent))
     targets = _targets(cells, classes, percent, block)
     need = classes.join(targets, "id").select(F.col("rep").alias("k"), "id", "rep", "mult", "cells", "targets")
     tiles = saved(_joined(docs, need, percent))

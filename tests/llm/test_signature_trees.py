@@ -55,6 +55,11 @@ def planted(seed):
             for _ in range(rng.randint(0, max(1, len(v) // 50))):
                 v[rng.randrange(len(v))] = "edit" + str(rng.randint(0, 9))
             rows.append((len(rows), " ".join(v).upper() if c % 2 else "\n".join(v)))
+    for c in range(40):  # a text and a longer one near the threshold, with a passage of its own group
+        base, shared = text(rng.randint(20, 90)), text(20)
+        for extra in (0, rng.randint(0, 3), int(len(base) * 0.22), int(len(base) * 0.25), int(len(base) * 0.27)):
+            more = shared[: rng.randint(0, 20)] + text(extra)
+            rows.append((len(rows), " ".join(base + more[:extra])))
     return rows + [(900, None), (901, ""), (902, " \t\n"), (903, "one two"), (904, "ONE two x"), (905, "One  TWO"), (905, "One  TWO"), (906, "É a b c d e"), (907, "é a b c d e")]
 
 
@@ -71,8 +76,9 @@ def test_planted_against_brute_force(spark, monkeypatch, seed, block):
 
 def test_long_runs_in_pieces(spark, monkeypatch):
     rows = planted(2)
-    real = st._cells
-    monkeypatch.setattr(st, "_cells", lambda routed: real(routed, 3))
+    cells, shared = st._cells, st._shared
+    monkeypatch.setattr(st, "_cells", lambda routed: cells(routed, 3))
+    monkeypatch.setattr(st, "_shared", lambda first: shared(first, 3))
     monkeypatch.setattr(st, "bounded_batches", lambda s: s.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5"))
     df = spark.createDataFrame(rows, "doc_id long, text string")
     assert rows_of(st.similar(df)) == brute(rows)
