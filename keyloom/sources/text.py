@@ -23,14 +23,15 @@ class NoReadableInput(ValueError):
     """None of the given paths can be read."""
 
 
-def _uri_path(path: str) -> str:
-    return os.path.abspath(path)
-
-
 def _local(path: str) -> bool:
     return "://" not in path
 
 
+def _spelled(path: str) -> str:
+    """Absolute, as the JVM's working directory need not be Python's."""
+    return os.path.abspath(path) if _local(path) else path
+
+
 def readable(paths: Sequence[str]) -> list[str]:
     """The paths that exist, in order and with repetitions; a warning for each that does not."""
     good = []
@@ -62,7 +63,7 @@ def read_text(spark: SparkSession, paths: Sequence[str], *, whole: bool = False)
     if not good:
         raise NoReadableInput("no input path can be read")
     times = Counter(good)
-    base = spark.read.text([_escape_glob(p) for p in dict.fromkeys(good)], wholetext=whole)
+    base = spark.read.text([_escape_glob(_spelled(p)) for p in dict.fromkeys(good)], wholetext=whole)
     uri = F.col("_metadata.file_path")
     names = _names(spark, list(times), uri)
     df = base.select(names.alias("doc"), "value")
@@ -80,8 +81,7 @@ def _names(spark: SparkSession, paths: list[str], uri: Column) -> Column:
     jvm = spark.sparkContext._jvm
     pairs: list[Column] = []
     for path in paths:
-        spelled = _uri_path(path) if _local(path) else path
-        as_uri = jvm.org.apache.hadoop.fs.Path(spelled).toUri()
+        as_uri = jvm.org.apache.hadoop.fs.Path(_spelled(path)).toUri()
         raw = as_uri.getRawPath() if _local(path) else as_uri.toString()
         pairs += [F.lit(raw), F.lit(path)]
     key = F.regexp_replace(uri, "^file:/+", "/") if all(map(_local, paths)) else uri
