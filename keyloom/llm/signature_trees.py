@@ -13,8 +13,10 @@ is then among the first ``2 p(n) - p(m)`` of the larger set and ``p(m)`` of the
 smaller, where ``m >= ceil(t n)``; ``2 p(n) - p(ceil(t n))`` covers both. Tokens that no other set
 holds come first, so texts that only share a passage are left with nothing, and
 the passages of many texts come last. The sets that meet at a token are a cell;
-equal cells are one, and a cell whose members all have the same larger home cell
-adds nothing and goes.
+equal cells are one. Cells that overlap form clusters; a cluster of up to
+``BLOCK`` sets is treated as one cell, so each of its sets is sent once. In larger
+clusters the cells stay, but for those whose members all have the same larger home
+cell, which add nothing.
 
 *Trees.* In a cell the sets, ordered by size, are the leaves of a tree of fan-out
 ``FAN``. A node holds the OR of its sets' token bitmaps and the range of their
@@ -194,9 +196,14 @@ def _targets(cells: DataFrame, classes: DataFrame, percent: int, block: int) ->
 
     Side 0 joins a block with itself, 1 and 2 are the two blocks of other tasks (of which one may be empty).
     """
-    sized = saved(cells.distinct())
-    size = sized.groupBy("cell").agg(F.count(F.lit(1)).alias("n_cell"))
-    sized = saved(sized.join(size, "cell"))
+    met = saved(cells.distinct())
+    least = met.groupBy("cell").agg(F.min("id").alias("v"))
+    cluster = saved(components(met.join(least, "cell").select(F.col("id").alias("u"), "v")))
+    small = cluster.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= block).select("component")
+    small = cluster.join(small, "component").select(F.xxhash64(F.lit(17), "component").alias("cell"), F.col("node").alias("id"))
+    met = met.join(small.select("id"), "id", "left_anti").select("cell", "id").union(small)
+    size = met.groupBy("cell").agg(F.count(F.lit(1)).alias("n_cell"))
+    sized = saved(met.join(size, "cell"))
     home = sized.groupBy("id").agg(F.max(F.struct("n_cell", "cell")).alias("h")).select("id", F.col("h.cell").alias("home"))
     needed = sized.join(home, "id").groupBy("cell").agg(F.min("home").alias("lo"), F.max("home").alias("hi"))
     needed = needed.filter((F.col("lo") != F.col("hi")) | (F.col("lo") == F.col("cell"))).select("cell")
