@@ -13,10 +13,10 @@ is then among the first ``2 p(n) - p(m)`` of the larger set and ``p(m)`` of the
 smaller, where ``m >= ceil(t n)``; ``2 p(n) - p(ceil(t n))`` covers both. Tokens that no other set
 holds come first, so texts that only share a passage are left with nothing, and
 the passages of many texts come last. The sets that meet at a token are a cell;
-equal cells are one. Cells that overlap form clusters; a cluster of up to
-``BLOCK`` sets is treated as one cell, so each of its sets is sent once. In larger
-clusters the cells stay, but for those whose members all have the same larger home
-cell, which add nothing.
+equal cells are one. Cells that overlap form clusters. A cluster of up to ``BLOCK``
+sets, or with fewer pairs than its cells have in all, is treated as one cell, so
+that copies of copies meet once. In other clusters the cells stay, but for those
+whose members all have the same larger home cell, which add nothing.
 
 *Trees.* In a cell the sets, ordered by size, are the leaves of a tree of fan-out
 ``FAN``. A node holds the OR of its sets' token bitmaps and the range of their
@@ -197,11 +197,13 @@ def _targets(cells: DataFrame, classes: DataFrame, percent: int, block: int) ->
     Side 0 joins a block with itself, 1 and 2 are the two blocks of other tasks (of which one may be empty).
     """
     met = saved(cells.distinct())
-    least = met.groupBy("cell").agg(F.min("id").alias("v"))
+    least = saved(met.groupBy("cell").agg(F.min("id").alias("v"), F.count(F.lit(1)).alias("n")))
     cluster = saved(components(met.join(least, "cell").select(F.col("id").alias("u"), "v")))
-    small = cluster.groupBy("component").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") <= block).select("component")
-    small = cluster.join(small, "component").select(F.xxhash64(F.lit(17), "component").alias("cell"), F.col("node").alias("id"))
-    met = met.join(small.select("id"), "id", "left_anti").select("cell", "id").union(small)
+    sets = cluster.groupBy("component").agg(F.count(F.lit(1)).alias("k"))
+    work = least.join(cluster, least["v"] == cluster["node"]).groupBy("component").agg(F.sum(F.col("n") * F.col("n")).alias("work"))
+    whole = sets.join(work, "component").filter((F.col("k") <= block) | (F.col("k") * F.col("k") <= F.col("work"))).select("component")
+    whole = cluster.join(whole, "component").select(F.xxhash64(F.lit(17), "component").alias("cell"), F.col("node").alias("id"))
+    met = met.join(whole.select("id"), "id", "left_anti").select("cell", "id").union(whole)
     size = met.groupBy("cell").agg(F.count(F.lit(1)).alias("n_cell"))
     sized = saved(met.join(size, "cell"))
     home = sized.groupBy("id").agg(F.max(F.struct("n_cell", "cell")).alias("h")).select("id", F.col("h.cell").alias("home"))
@@ -291,20 +293,37 @@ def linked(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
     return 100 * common >= percent * (len(s) + len(t) - common)
 
 
-def _links(a: list[np.ndarray], b: list[np.ndarray] | None, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Linked pairs between two blocks, or inside one."""
-    most = max(len(s) for s in (*a, *(b or [])))
+def _met_before(rows: list[dict], cell: int) -> np.ndarray:
+    """Bitmaps of the cells before ``cell`` in which each set is, too."""
+    earlier = [[c for c in r["cells"] if c < cell] for r in rows]
+    number = {c: i for i, c in enumerate(dict.fromkeys(c for cs in earlier for c in cs))}
+    flags = np.zeros((len(rows), max(64, -(-len(number) // 64) * 64)), bool)
+    for row, cs in zip(flags, earlier):
+        row[[number[c] for c in cs]] = True
+    return np.packbits(flags, axis=1).view(_U)
+
+
+def _links(a: list[np.ndarray], b: list[np.ndarray] | None, percent: int, before: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs between two blocks, or inside one; numbers in the second follow those of the first.
+
+    ``before``: pairs with a bit in common there are left out.
+    """
+    every = [*a, *(b or [])]
+    most = max(map(len, every))
     bits = min(1 << 16, max(512, 1 << int(np.ceil(np.log2(4 * most)))))
-    order_a = np.array(sorted(range(len(a)), key=lambda i: (len(a[i]), a[i][0])))
-    ta = Leaves([a[i] for i in order_a], bits)
-    if b is None:
-        tb, order_b = ta, order_a
-    else:
-        order_b = np.array(sorted(range(len(b)), key=lambda i: (len(b[i]), b[i][0])))
-        tb = Leaves([b[i] for i in order_b], bits)
+    by_size = lambda lo, hi: np.array(sorted(range(lo, hi), key=lambda i: (len(every[i]), every[i][0])), np.int64)
+    order_a = order_b = by_size(0, len(a))
+    ta = tb = Leaves([every[i] for i in order_a], bits)
+    if b:
+        order_b = by_size(len(a), len(every))
+        tb = Leaves([every[i] for i in order_b], bits)
     x, y = walk(ta, tb, percent)
-    good = np.array([linked(ta.sets[i], tb.sets[j], percent) for i, j in zip(x.tolist(), y.tolist())], bool)
-    return order_a[x[good]], order_b[y[good]]
+    i, j = order_a[x], order_b[y]
+    if before is not None:
+        new = np.concatenate([np.zeros(0, bool), *(~(before[i[k : k + 4096]] & before[j[k : k + 4096]]).any(1) for k in range(0, len(i), 4096))])
+        i, j = i[new], j[new]
+    good = np.array([linked(every[p], every[q], percent) for p, q in zip(i.tolist(), j.tolist())], bool)
+    return i[good], j[good]
 
 
 def _join_task(rows: list[dict], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
@@ -319,14 +338,10 @@ def _join_task(rows: list[dict], percent: int) -> tuple[np.ndarray, np.ndarray,
     if not left or (right == [] and (not sides[0] or len(left) < 2)):
         return None
     a, b = ([np.frombuffer(r["s"], _U) for r in side] for side in (left, right))
-    i, j = _links(a, b or None, percent)
-    if right:
-        j = j + len(left)
     every = [*left, *right]
     cell = rows[0]["cell"]
-    cells = [set(r["cells"]) for r in every]
-    first = np.array([len(cells[p]) == 1 or len(cells[q]) == 1 or min(cells[p] & cells[q]) == cell for p, q in zip(i.tolist(), j.tolist())], bool)
-    i, j = i[first], j[first]
+    before = _met_before(every, cell) if any(r["cells"][0] < cell for r in every) else None
+    i, j = _links(a, b or None, percent, before)
     if not len(i):
         return None
     node, mult = np.array([r["rep"] for r in every], np.int64), np.array([r["mult"] for r in every], np.int64)
