@@ -163,7 +163,7 @@ def _blocks(reps: DataFrame, eps: float) -> DataFrame:
     # Number blocks along each group: what comes before is a sum over partitions (one row per group and partition).
     per = packed.groupBy("g", "pid").agg(F.count(F.lit(1)).alias("_n"))
     before = F.coalesce(F.sum("_n").over(W.partitionBy("g").orderBy("pid").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    return packed.join(F.broadcast(per.select("g", "pid", before.alias("_off"))), ["g", "pid"]).withColumn("idx", F.col("seq") + F.col("_off"))
+    return packed.join(per.select("g", "pid", before.alias("_off")), ["g", "pid"]).withColumn("idx", F.col("seq") + F.col("_off"))
 
 
 def _block_pairs(blocks: DataFrame, eps: float) -> DataFrame:
