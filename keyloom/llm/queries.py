@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from keyloom.llm import bpe, ego_join, html_text, kmeans_tree, licenses, mixing, quality, signature_trees, substrings, urls
+from keyloom.llm import bpe, ego_join, html_text, kmeans_tree, licenses, mixing, oracles, quality, signature_trees, substrings, urls
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -38,7 +38,6 @@ def op6_licenses(spark, sf_dir):
     return licenses.scan(_table(spark, sf_dir, "documents")).drop("matches")
 
 
-ORACLE["op6_licenses"] = licenses.ORACLE_SQL
 
 
 @query
@@ -78,6 +77,7 @@ def op5_similar(spark, sf_dir):
     return signature_trees.similar(_table(spark, sf_dir, "documents"))
 
 
+ORACLE |= oracles.SQL | {"op6_licenses": licenses.ORACLE_SQL}
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL

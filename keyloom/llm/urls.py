@@ -64,8 +64,8 @@ def segments(path: Column, depth: int = DEPTH) -> Column:
     parts = F.split(F.regexp_replace(path, r"^/", ""), "/")
 
     def shape(s: Column) -> Column:
-        number = F.regexp_replace(s, r"^[0-9]+(\.[A-Za-z0-9]{1,5})?$", "{n}$1")
-        return F.when(s.rlike(r"^(?=.*[0-9])[0-9A-Fa-f-]{8,}$") & ~s.rlike(r"^[0-9]+$"), F.lit("{h}")).otherwise(number)
+        number = F.regexp_replace(s, r"^[0-9]+(\.[A-Za-z0-9]{1,5})?\z", "{n}$1")
+        return F.when(s.rlike(r"^(?=.*[0-9])[0-9A-Fa-f-]{8,}\z") & ~s.rlike(r"^[0-9]+\z"), F.lit("{h}")).otherwise(number)
 
     head = F.transform(F.slice(parts, 1, depth), shape)
     return F.when(F.size(parts) > depth, F.concat(head, F.array(F.lit("**")))).otherwise(head)
