@@ -39,8 +39,7 @@ def main(argv: list[str] | None = None) -> int:
         return 1
     job, paths = parse(argv[1:], APPS[argv[0]])
     spark = SparkSession.builder.appName("keyloom").getOrCreate()
-    result = run(spark, job, paths)
-    print(f"{len(result.files)} files in {result.output_dir}, {result.metrics.wall_s:.2f} s wall", file=sys.stderr)
+    run(spark, job.with_options(verbose=True), paths)
     return 0
 
 

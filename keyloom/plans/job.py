@@ -5,6 +5,7 @@ from __future__ import annotations
 import logging
 import os
 import resource
+import sys
 import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
@@ -108,5 +109,11 @@ def run(spark: SparkSession, job: Job, paths: Sequence[str]) -> Result:
         metrics.top = [(r["partition"], r["keys"]) for r in top_partitions(stats).collect()]
     if job.metrics_file is not None:
         metrics.write(job.metrics_file)
-    log.info("%d files in %s, %.1f s", len(files), job.output_dir, metrics.wall_s)
+    summary = (
+        f"{len(paths)} inputs, {job.readers} readers, {job.mappers} mappers, {job.reducers} reducers: {len(files)} files in {job.output_dir}, "
+        f"{metrics.wall_s:.2f} s wall, driver {metrics.user_s:.2f} s user and {metrics.sys_s:.2f} s system"
+    )
+    log.info(summary)
+    if job.verbose:
+        print(summary, file=sys.stderr)
     return Result(files, job.output_dir, metrics)

@@ -11,7 +11,8 @@ from pyspark.sql import Window as W
 from keyloom.apps.inverted_index import POSTINGS, dedup, map_words
 from keyloom.apps.word_count import SUM, map_ones
 from keyloom.functions.hashing import djb2, djb2_mod
-from keyloom.functions.text import postings_line, tokens
+from keyloom.functions.text import atoi, postings_line, tokens
+from keyloom.functions.udtf import register_udtfs
 from keyloom.metrics import balance, partition_keys, top_partitions
 from keyloom.operators import aggregates as A
 from keyloom.operators.mapreduce import PythonReducer, map_reduce
@@ -94,6 +95,22 @@ def word_count_udf(spark, sf_dir):
     return map_reduce(rows, map_ones, SUM, num_partitions=8)
 
 
+@register(_with(_W) + "SELECT source, word, count(*) AS n FROM w WHERE length(word) >= 12 GROUP BY source, word")
+def long_words_udtf(spark, sf_dir):
+    register_udtfs(spark)
+    query = "SELECT source, word, count(*) AS n FROM {docs}, LATERAL words(text) WHERE length(word) >= 12 GROUP BY source, word"
+    return spark.sql(query, docs=_docs(spark, sf_dir).select("source", "text"))
+
+
+@register(
+    _with(_W) + "SELECT source, sum(coalesce(try_cast(regexp_extract(word, '^\\s*([+-]?[0-9]+)', 1) AS INT), 0))::BIGINT AS total "
+    "FROM w WHERE regexp_matches(word, '^[0-9]') GROUP BY source"
+)
+def leading_numbers(spark, sf_dir):
+    words = tokens(_docs(spark, sf_dir), "text", "source").filter(F.col("word").rlike("^[0-9]"))
+    return words.groupBy("source").agg(F.sum(atoi(F.col("word"))).alias("total"))
+
+
 @register(_with(_W) + "SELECT word, count(DISTINCT doc_id) AS df FROM w GROUP BY word")
 def document_frequency(spark, sf_dir):
     return A.document_frequency(_docs(spark, sf_dir), "text", F.col("doc_id"), unique_docs=True)

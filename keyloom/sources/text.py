@@ -50,20 +50,22 @@ def _escape_glob(path: str) -> str:
     return out
 
 
-def read_text(spark: SparkSession, paths: Sequence[str], *, whole: bool = False) -> DataFrame:
+def read_text(spark: SparkSession, paths: Sequence[str], *, whole: bool = False, skip_errors: bool = False) -> DataFrame:
     """Rows ``(doc, value)``: one per line, or one per file with ``whole``.
 
     Missing paths are skipped with a warning; if none is left the call raises
     ``NoReadableInput``. A path given twice contributes its rows twice. The
     scan is one splittable ``spark.read.text`` over all distinct paths: the
     name written by the caller comes back through a map from Spark's file URI,
-    so the plan does not grow a branch per file.
+    so the plan does not grow a branch per file. ``skip_errors`` also leaves out
+    files that vanish or break while they are read, instead of failing the job.
     """
     good = readable(paths)
     if not good:
         raise NoReadableInput("no input path can be read")
     times = Counter(good)
-    base = spark.read.text([_escape_glob(_spelled(p)) for p in dict.fromkeys(good)], wholetext=whole)
+    reader = spark.read.option("ignoreMissingFiles", skip_errors).option("ignoreCorruptFiles", skip_errors)
+    base = reader.text([_escape_glob(_spelled(p)) for p in dict.fromkeys(good)], wholetext=whole)
     uri = F.col("_metadata.file_path")
     names = _names(spark, list(times), uri)
     df = base.select(names.alias("doc"), "value")

@@ -9,7 +9,7 @@ from keyloom.apps import APPS
 from keyloom.apps.inverted_index import POSTINGS, dedup, map_words
 from keyloom.metrics import Metrics
 from keyloom.operators.sinks import write_single
-from keyloom.plans.cli import parse
+from keyloom.plans.cli import main, parse
 from keyloom.plans.job import Job, run
 from keyloom.sources.text import NoReadableInput, input_manifest, read_text
 
@@ -98,6 +98,12 @@ def test_cli(files):
         parse(["--what", "f"], APPS["word-count"])
 
 
+def test_cli_end_to_end(spark, files, tmp_path, capsys):
+    assert main(["word-count", "-r", "2", "-o", str(tmp_path / "o"), "-p", str(tmp_path / "r"), *files]) == 0
+    assert "3 inputs, 1 readers, 20 mappers, 2 reducers" in capsys.readouterr().err
+    assert main(["no-such-app"]) == 1
+
+
 def test_job_needs_its_functions():
     with pytest.raises(ValueError, match="mapper"):
         Job().validate()
