@@ -45,8 +45,8 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    coded = bpe.encode(docs.select("doc_id", "source", "text"), bpe.vocabulary())
-    return coded.select("doc_id", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    coded = bpe.encode(docs.select("doc_id", "source", "text"), bpe.vocabulary(), decoded="sha256", keep_text=False)
+    return coded.select("doc_id", "source", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.col("decoded").alias("decoded_sha256"))
 
 
 STAGES = [

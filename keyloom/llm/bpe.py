@@ -30,7 +30,7 @@ from keyloom.llm.common import bounded_batches
 
 LONG = 1024
 LEAF = 128
-MEMO = 400_000
+MEMO = 150_000
 
 
 class WordBPE:
@@ -183,27 +183,33 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return str(public_tokenizers.path(name))
 
 
-def encode(df: DataFrame, path: str, text: str = "text") -> DataFrame:
-    """All columns of ``df`` and ``ids array<int>``, ``decoded string``.
+def encode(df: DataFrame, path: str, text: str = "text", *, decoded: str = "text", keep_text: bool = True) -> DataFrame:
+    """All columns of ``df`` (without ``text``, if it is not to be kept) and ``ids array<int>``, ``decoded string``.
 
-    Null and empty texts give no ids and an empty string. Columns of ``df``
-    named ``ids`` or ``decoded`` are replaced. Row for row: repeated rows and
-    ids stay, an empty table gives an empty result.
+    ``decoded="sha256"`` gives the digest of the decoded text instead, so that it
+    never leaves the worker. Null and empty texts give no ids and an empty
+    decoding. Columns of ``df`` named ``ids`` or ``decoded`` are replaced. Row for
+    row: repeated rows and ids stay, an empty table gives an empty result.
     """
-    bounded_batches(df.sparkSession)
+    bounded_batches(df.sparkSession, megabytes=4)
     base = df.drop("ids", "decoded")
+    kept = [f for f in base.schema.fields if keep_text or f.name != text]
+    names = [*(f.name for f in kept), "ids", "decoded"]
+    shown = (lambda t: t) if decoded == "text" else (lambda t: hashlib.sha256(t.encode()).hexdigest())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(path)
         for b in batches:
-            got = [enc.strings(t or "") for t in b.column(text).to_pylist()]
-            flat = [np.array(i.split(" "), np.int32) if i else np.zeros(0, np.int32) for i, _ in got]
-            ends = np.cumsum([0, *map(len, flat)]).astype(np.int32)
-            ids = pa.ListArray.from_arrays(ends, np.concatenate([np.zeros(0, np.int32), *flat]))
-            arrays = [*b.columns, ids, pa.array([d for _, d in got], pa.string())]
-            yield pa.RecordBatch.from_arrays(arrays, names=[*b.schema.names, "ids", "decoded"])
-
-    schema = T.StructType([*base.schema.fields, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
+            flat, texts = [np.zeros(0, np.int32)], []
+            for value in b.column(text):
+                ids, plain = enc.strings(value.as_py() or "")
+                flat.append(np.array(ids.split(" "), np.int32) if ids else flat[0])
+                texts.append(shown(plain))
+            ends = np.cumsum([len(f) for f in flat]).astype(np.int32)
+            arrays = [*(b.column(f.name) for f in kept), pa.ListArray.from_arrays(ends, np.concatenate(flat)), pa.array(texts, pa.string())]
+            yield pa.RecordBatch.from_arrays(arrays, names=names)
+
+    schema = T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
     return base.mapInArrow(run, schema)
 
 
@@ -212,7 +218,7 @@ def digests(df: DataFrame, path: str, key: str = "doc_id", text: str = "text") -
 
     The ids and texts themselves never leave the worker. Null text counts as empty.
     """
-    bounded_batches(df.sparkSession)
+    bounded_batches(df.sparkSession, megabytes=4)
     base = df.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

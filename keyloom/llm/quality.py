@@ -30,7 +30,7 @@ RANK = 8
 TRAIN_ROWS = 12_000
 FOLDS = 5
 ACCEPT = 0.3
-_MEMO = 400_000
+_MEMO = 200_000
 _CLASSES = 10
 _STATS = _CLASSES + 9
 SIZE = WORDS + _STATS * BINS

@@ -7,7 +7,7 @@ import xxhash
 
 WORDS = 5
 _U = np.uint64
-_MEMO = 400_000
+_MEMO = 200_000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _MULT = [_U(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F)]
 
