@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 
 BLOCK = 64
 QUANTUM = 4096
-BUCKET_ROWS = 100_000
+BUCKET_ROWS = 10_000
 BROADCAST_CELLS = 1_000_000
 _NULL = "\x00null"
 
