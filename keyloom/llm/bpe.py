@@ -26,11 +26,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyloom.llm.common import bounded_batches
+from keyloom.llm.common import bounded_batches, claim, memo
 
 LONG = 1024
 LEAF = 128
-MEMO = 150_000
+MEMO = 300_000
 
 
 class WordBPE:
@@ -176,10 +176,12 @@ class Encoder:
 
 
 _ENCODERS: dict[str, Encoder] = {}
+memo("bpe", _ENCODERS.clear)
 
 
 def encoder(path: str) -> Encoder:
     """One encoder per worker process and vocabulary."""
+    claim("bpe")
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]

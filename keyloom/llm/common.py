@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import tempfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -36,6 +36,21 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="keyloom-")
 
 
+_MEMOS: dict[str, Callable[[], None]] = {}
+
+
+def memo(name: str, clear: Callable[[], None]) -> None:
+    """Register what a worker process keeps between tasks, and how to let it go."""
+    _MEMOS[name] = clear
+
+
+def claim(name: str) -> None:
+    """At the start of a task: let go of what other operators keep, as Spark reuses workers."""
+    for other, clear in _MEMOS.items():
+        if other != name:
+            clear()
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only."""
     return F.translate(text, UPPER, LOWER)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyloom.llm.common import bounded_batches
+from keyloom.llm.common import bounded_batches, claim, memo
 
 WORDS = 1 << 14
 BINS = 16
@@ -58,6 +58,7 @@ class _Buckets(dict):
 
 
 _BUCKETS = _Buckets()
+memo("quality", _BUCKETS.clear)
 
 
 def _structure(text: str, words: np.ndarray, counts: np.ndarray, n: int, n_chars: int | None) -> np.ndarray:
@@ -160,6 +161,7 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
     base = docs.select(F.col(key).alias("_k"), F.col(text).alias("text"), F.col(n_chars).cast("bigint").alias("n")).join(chosen, "_k")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
         for b in batches:
             got = [features(t or "", n) for t, n in zip(b.column("text").to_pylist(), b.column("n").to_pylist())]
             arrays = [b.column("_k"), b.column("_y").cast(pa.int32())]
@@ -168,7 +170,7 @@ def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str
 
     kind = dict(base.dtypes)["_k"]
     found = sorted(base.mapInArrow(run, f"k {kind}, y int, i binary, x binary").collect(), key=lambda r: (r["k"], r["i"]))[:rows]
-    data = [(np.frombuffer(r["i"], np.int32).astype(np.int64), np.frombuffer(r["x"], np.float32).astype(float)) for r in found]
+    data = [(np.frombuffer(r["i"], np.int32), np.frombuffer(r["x"], np.float32)) for r in found]
     return fit(data, np.array([float(r["y"] > 0) for r in found]))
 
 
@@ -181,6 +183,7 @@ def score(docs: DataFrame, machine: Machine, *, key: str = "doc_id", text: str =
     base = docs.drop("held_out", "score", "predicted")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
         for b in batches:
             sizes = b.column(n_chars).to_pylist()
             scores: list[float] = []

@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 import xxhash
 
+from keyloom.llm.common import memo
+
 WORDS = 5
 _U = np.uint64
 _MEMO = 200_000
@@ -23,6 +25,7 @@ class _Hashes(dict):
 
 
 _HASHES = _Hashes()
+memo("shingles", _HASHES.clear)
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -45,7 +45,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from keyloom.llm.common import bounded_batches, saved
+from keyloom.llm.common import bounded_batches, claim, saved
 from keyloom.llm.graph import components, min_labels
 from keyloom.llm.shingles import shingle_set
 
@@ -64,6 +64,7 @@ def _scan(docs: DataFrame) -> DataFrame:
     """``(k, id, n)``: the set of each of the texts ``(k, t)`` and its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("shingles")
         for b in batches:
             sets = map(shingle_set, b.column("t").to_pylist())
             ids, sizes = zip(*((_set_id(s), len(s)) for s in sets)) if b.num_rows else ((), ())
@@ -85,6 +86,7 @@ def _first_tokens(docs: DataFrame, percent: int) -> DataFrame:
     """``(token, id)``: the ``2 p - 1`` tokens of least hash of every set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("shingles")
         for b in batches:
             seen: set[int] = set()
             tokens, ids = [], []
@@ -108,6 +110,7 @@ def _token_runs(
     """Walk rows ``(token, id)`` in order: ``whole`` gets complete runs of tokens, ``piece`` pieces of a run too long to hold."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("shingles")
         token, ids = np.zeros(0, np.int64), np.zeros(0, np.int64)
         going_on = None
         for b in batches:
@@ -356,6 +359,7 @@ def _joined(docs: DataFrame, need: DataFrame, percent: int) -> DataFrame:
     """``(id, node, root, n)`` from all tasks. ``need``: ``(k, id, rep, mult, cells, targets)`` of the sets that meet others."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("shingles")
         for b in batches:
             out: dict[str, list] = {c: [] for c in ("pair", "cell", "side", "id", "rep", "mult", "cells", "s")}
             size = 0
@@ -379,6 +383,7 @@ def _joined(docs: DataFrame, need: DataFrame, percent: int) -> DataFrame:
     tasks = shipped.repartition("pair").sortWithinPartitions("pair", "cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("shingles")
         held: list[dict] = []
         for b in batches:
             found = []

@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyloom.llm.common import bounded_batches, saved
+from keyloom.llm.common import bounded_batches, claim, saved
 from keyloom.llm.suffix import _BASE, _BYTE, GRAM, LENGTH, REACH, Prints, anchors, mix
 
 BATCHES = 2
@@ -55,6 +55,7 @@ def suffix_array(texts: DataFrame) -> DataFrame:
     """Entries ``(fp, h, uid, pos)`` of the rows ``(uid, t)``; not sorted yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("substrings")
         for b in batches:
             parts: list[tuple] = []
             for uid, text in zip(b.column("uid").to_pylist(), b.column("t").cast(pa.binary())):
@@ -105,6 +106,7 @@ def merge_scan(arrays: list[DataFrame], hot: int = HOT, most: int = HELD) -> Dat
         entries = entries.unionByName(a)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("substrings")
         held = [np.zeros(0, np.int64)] * 4
         going_on = None  # the anchor of a run too long to hold, part of which is done
         for b in batches:
@@ -210,6 +212,7 @@ def _surroundings(marked: DataFrame, want_hot: bool) -> DataFrame:
     """``(fp, uid, pos, left, right, wide)`` of the marked anchors whose bytes must be compared."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("substrings")
         for b in batches:
             for uid, text, marks in zip(b.column("uid").to_pylist(), b.column("t").cast(pa.binary()), b.column("marks")):
                 m = marks.values.to_numpy()
@@ -237,6 +240,7 @@ def _compare(around: DataFrame) -> DataFrame:
     """``(uid, start, end)``: repeated strings among surroundings of the same anchor, run by run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("substrings")
         held: list[np.ndarray] | None = None
         for b in batches:
             if not b.num_rows:
@@ -258,6 +262,7 @@ def _compare_hot(around: DataFrame) -> DataFrame:
     """The same for runs of any size: one row per string, grouped by Spark."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("substrings")
         for b in batches:
             if not b.num_rows:
                 continue
@@ -354,6 +359,7 @@ def _removed(state: DataFrame, texts: bool) -> DataFrame:
     """Cut the marked strings and the compared ones out of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("substrings")
         for b in batches:
             kept, runs = [], []
             for text, marks, spans in zip(b.column("t").cast(pa.binary()), b.column("marks"), b.column("spans")):
