@@ -2,152 +2,221 @@
 
 Rows of a source are grouped into blocks. Block ``j`` (from 0) of a source of
 weight ``w`` is released at slot ``floor(j / w)`` and due by ``ceil((j + 1) /
-w)``; earliest deadline first over released blocks then keeps every source
-within less than one block of ``w * t`` at every slot ``t``. Weights are
-rationals ``p / q`` with one ``q``, so all sources have exactly their share
-after ``q`` slots and the schedule repeats: one period is worked out on the
-driver, and the slot of any block is arithmetic on its number. When a source
-has no block left a new phase begins among the rest, with their weights scaled
-up. No row is dropped or repeated.
+w)``; earliest deadline first over released blocks (ties: the lesser source name)
+keeps every source within less than one block of ``w * t`` at every slot ``t``.
+Weights are exact: whole parts of one common total, whatever numbers were given.
+
+*Phases.* A source that runs out leaves its later slots empty. Once the sources
+that still have blocks weigh half of the total or less, the phase ends and a new
+one begins among them, with weights in proportion; so there are at most
+``log2(1 / least weight)`` phases and never more empty slots than full ones. What
+is done when a phase ends is fixed beforehand: ``floor(w * end)`` blocks of each
+source, and one more of those whose next block was released first, as many as
+fill ``end`` slots. These are due by ``end``, the others wait for the next phase.
+
+*Ranges.* What earliest deadline first has done by a slot follows without its
+history: of the blocks released before, taken by deadline, each that still leaves
+every suffix of slots enough room (the greedy basis of a matroid). All blocks
+released a longest window earlier are done. So tasks work out ranges of slots by
+themselves; the driver holds one number per source and phase. A source of weight
+``w`` makes a range look back over ``1 / w`` slots: ranges grow with it.
+
+No row is dropped or repeated.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Mapping
+import math
+from collections.abc import Iterator, Mapping
+from dataclasses import dataclass
 from fractions import Fraction
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 BLOCK = 64
-QUANTUM = 4096
 BUCKET_ROWS = 10_000
-BROADCAST_CELLS = 1_000_000
+RANGE = 1 << 14
 _NULL = "\x00null"
 
 
-def parts(weights: Mapping[str, float], quantum: int = QUANTUM) -> dict[str, int]:
-    """Weights as whole parts of ``quantum`` (or of a larger number, if there are many sources): largest remainders, 1 at least."""
-    names = sorted(weights)
-    total = sum(Fraction(weights[s]) for s in names)
-    if not names or any(weights[s] <= 0 for s in names):
+def parts(weights: Mapping[str, float | Fraction]) -> dict[str, int]:
+    """Weights as whole numbers in exactly their proportion."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    if any(w <= 0 for w in exact.values()):
         raise ValueError("target weights must be positive")
-    q = max(quantum, 4 * len(names))
-    exact = {s: Fraction(weights[s]) / total * q for s in names}
-    out = {s: max(1, int(exact[s])) for s in names}
-    order = sorted(names, key=lambda s: (int(exact[s]) - exact[s], s))
-    i = 0
-    while (rest := q - sum(out.values())) > 0:
-        out[order[i % len(order)]] += 1
-        i += 1
-    while rest < 0:
-        largest = max(names, key=lambda s: (out[s], s))
-        out[largest] -= 1
-        rest += 1
-    return out
+    common = math.lcm(*(w.denominator for w in exact.values()))
+    whole = {s: int(w * common) for s, w in exact.items()}
+    least = math.gcd(*whole.values())
+    return {s: p // least for s, p in whole.items()}
+
+
+@dataclass(frozen=True)
+class Phase:
+    """``names`` (sorted) with their ``part`` of ``total``; ``first``: blocks used before; ``count``: done at the end; ``real``: of these, blocks that exist."""
+
+    start: int
+    length: int
+    total: int
+    names: tuple[str, ...]
+    part: tuple[int, ...]
+    first: tuple[int, ...]
+    count: tuple[int, ...]
+    real: tuple[int, ...]
+
+    def released(self, i: int, t: int) -> int:
+        """Blocks of the ``i``-th source that are released before slot ``t``."""
+        return min(self.count[i], -(-self.part[i] * t // self.total))
 
+    def window(self) -> int:
+        """No block has more slots between release and deadline."""
+        return -(-self.total // min(self.part)) + 2
 
-def period(p: Mapping[str, int]) -> dict[str, list[int]]:
-    """Slots of each source's blocks within one period of ``sum(p)`` slots."""
-    q = sum(p.values())
-    waiting = [(0, s, 0) for s in p]  # release, source, block
-    heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []  # deadline, source, block
-    slots: dict[str, list[int]] = {s: [] for s in p}
-    for t in range(q):
-        while waiting and waiting[0][0] <= t:
-            _, s, j = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(j + 1) * q // p[s]), s, j))
-        due, s, j = heapq.heappop(ready)
-        assert due > t
-        slots[s].append(t)
-        if j + 1 < p[s]:
-            heapq.heappush(waiting, ((j + 1) * q // p[s], s, j + 1))
-    return slots
-
-
-def phases(p: Mapping[str, int], blocks: Mapping[str, int]) -> list[dict]:
-    """Phases until every source is exhausted: first slot, period, slots of one period, blocks used before."""
+    def jobs(self, lo: int, hi: int) -> Iterator[tuple[int, int, int, int]]:
+        """``(release, deadline, source, block)`` of blocks released in ``[lo, hi)``."""
+        for i, p in enumerate(self.part):
+            for j in range(self.released(i, lo), self.released(i, hi)):
+                yield j * self.total // p, min(self.length, -(-(j + 1) * self.total // p)), i, j
+
+
+def phases(part: Mapping[str, int], blocks: Mapping[str, int]) -> list[Phase]:
     left = {s: n for s, n in blocks.items() if n > 0}
-    used = dict.fromkeys(blocks, 0)
+    used = dict.fromkeys(left, 0)
     start, out = 0, []
     while left:
-        table = period({s: p[s] for s in left})
-        q = sum(p[s] for s in left)
-        at = lambda s, j: j // p[s] * q + table[s][j % p[s]]  # noqa: B023, E731
-        end = min(at(s, n - 1) for s, n in left.items()) + 1
-        out.append({"start": start, "q": q, "slots": table, "used": dict(used)})
-        whole, rest = divmod(end, q)
-        for s in list(left):
-            n = whole * p[s] + sum(t < rest for t in table[s])
+        names = sorted(left)
+        p = [part[s] for s in names]
+        q = sum(p)
+        ends = [-(-left[s] * q // x) for s, x in zip(names, p)]
+        rest, end = q, 0
+        for e, x in sorted(zip(ends, p)):
+            if 2 * rest <= q and e > end:
+                break
+            rest, end = rest - x, e
+        count = [x * end // q for x in p]
+        next_up = sorted((n * q // x, -(-(n + 1) * q // x), i) for i, (n, x) in enumerate(zip(count, p)) if x * end % q)
+        for _, _, i in next_up[: end - sum(count)]:
+            count[i] += 1
+        real = [min(n, left[s]) for n, s in zip(count, names)]
+        out.append(Phase(start, end, q, tuple(names), tuple(p), tuple(used[s] for s in names), tuple(count), tuple(real)))
+        for s, n in zip(names, real):
             used[s] += n
             left[s] -= n
-            if not left[s]:
-                del left[s]
+        left = {s: n for s, n in left.items() if n}
         start += end
     return out
 
 
+def done_by(ph: Phase, t: int) -> list[int]:
+    """Blocks of each source that earliest deadline first has done in the slots before ``t``."""
+    lo = max(0, t - ph.window())
+    out = [ph.released(i, lo) for i in range(len(ph.part))]
+    room = t - sum(out)
+    due, optional = 0, []  # blocks due by t come first; of each source one block at most is due later
+    for release, deadline, i, _ in sorted(ph.jobs(lo, t), reverse=True):
+        if deadline <= t:
+            due += 1
+            out[i] += 1
+        else:
+            heapq.heappush(optional, (-deadline, -i))
+        while due + len(optional) > t - release:
+            heapq.heappop(optional)
+    while due + len(optional) > room:
+        heapq.heappop(optional)
+    for _, i in optional:
+        out[-i] += 1
+    return out
+
+
+def slots(ph: Phase, lo: int, hi: int) -> Iterator[tuple[str, int, int]]:
+    """``(source, block, slot)`` of the blocks that exist in the slots ``[lo, hi)`` of a phase."""
+    at = done_by(ph, lo)
+    ready = [(d, i, j) for _, d, i, j in ph.jobs(max(0, lo - ph.window()), lo) if j >= at[i]]
+    heapq.heapify(ready)
+    coming = sorted(ph.jobs(lo, hi), reverse=True)
+    for t in range(lo, hi):
+        while coming and coming[-1][0] <= t:
+            heapq.heappush(ready, coming.pop()[1:])
+        _, i, j = heapq.heappop(ready)
+        if j < ph.real[i]:
+            yield ph.names[i], ph.first[i] + j, ph.start + t
+
+
+def block_slots(spark: SparkSession, plan: list[Phase], span: int = RANGE) -> DataFrame:
+    """``(_s, mix_block, mix_slot)`` of every block, each range of slots worked out in a task of its own."""
+    spans = [max(span, 4 * ph.window()) for ph in plan]
+    counts = [-(-ph.length // n) for ph, n in zip(plan, spans)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for k in b.column("id").to_pylist():
+                n = 0
+                while k >= counts[n]:
+                    k, n = k - counts[n], n + 1
+                rows = list(slots(plan[n], k * spans[n], min(plan[n].length, (k + 1) * spans[n])))
+                s, j, t = zip(*rows) if rows else ((), (), ())
+                yield pa.RecordBatch.from_arrays([pa.array(s, pa.string()), pa.array(j, pa.int64()), pa.array(t, pa.int64())], names=["_s", "mix_block", "mix_slot"])
+
+    n = sum(counts)
+    return spark.range(0, n, 1, max(1, min(n, 10_000))).mapInArrow(run, "_s string, mix_block bigint, mix_slot bigint")
+
+
+def row_hash(df: DataFrame, first: str) -> Column:
+    """Digest of a whole row (but for columns without a text form), ``first`` leading."""
+    plain = [c for c, kind in df.dtypes if not kind.startswith(("map", "variant")) and c != first]
+    texts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("\x00")) for c in [first, *plain]]
+    return F.md5(F.concat_ws("\x1f", *texts))
+
+
 def schedule(
     df: DataFrame,
-    weights: Mapping[str | None, float] | None = None,
+    weights: Mapping[str | None, float | Fraction] | None = None,
     *,
     key: str = "doc_id",
     source: str = "source",
     block: int = BLOCK,
-    quantum: int = QUANTUM,
     temper: float = 0.5,
 ) -> DataFrame:
     """All rows and columns of ``df``, and ``mix_index``, ``mix_block``, ``mix_slot`` (long).
 
-    ``mix_index`` numbers a source's rows in hash order of ``key``, ``mix_block``
-    is ``mix_index // block`` and ``mix_slot`` the block's place in the mixture.
-    ``weights`` names the targets; without it a source of ``n`` rows weighs ``n
-    ** temper``. A source that ``weights`` omits gets the least of the given
-    weights. Null is a source of its own; repeated keys are separate rows;
-    columns of ``df`` with the new names are replaced; an empty table stays empty.
-    Sources are a dimension: the driver holds one count for each.
+    ``mix_index`` numbers a source's rows in the order of a digest of the row,
+    whatever other sources hold; ``mix_block`` is ``mix_index // block`` and
+    ``mix_slot`` the block's place in the mixture. ``weights`` names the targets;
+    without it a source of ``n`` rows weighs ``n ** temper`` (to three decimals). A source that
+    ``weights`` omits gets the least of the given weights. Null is a source of its
+    own; null and repeated keys are separate rows, told apart by their other
+    columns (rows that are equal throughout stand next to one another); columns of
+    ``df`` with the new names are replaced; an empty table stays empty. Sources are
+    a dimension: the driver holds one count for each.
     """
     base = df.drop("mix_index", "mix_block", "mix_slot")
     name = F.coalesce(F.col(source).cast("string"), F.lit(_NULL))
     counts = {r["_s"]: r["n"] for r in base.groupBy(name.alias("_s")).agg(F.count(F.lit(1)).alias("n")).collect()}
-    plan, p = [], {}
+    plan: list[Phase] = []
     if counts:
         if weights is None:
-            target = {s: float(n) ** temper for s, n in counts.items()}
+            target: dict[str, float | Fraction] = {s: Fraction(max(1, round(1000 * float(n) ** temper))) for s, n in counts.items()}
         else:
-            given = {_NULL if s is None else s: float(v) for s, v in weights.items()}
+            given = {_NULL if s is None else s: v for s, v in weights.items()}
             target = {s: given.get(s, min(given.values())) for s in counts}
-        p = parts(target, quantum)
-        plan = phases(p, {s: -(-n // block) for s, n in counts.items()})
-    rows = []
-    for s in counts:
-        own = [ph for ph in plan if s in ph["slots"]]
-        rows.append((s, p[s], [ph["used"][s] for ph in own], [ph["start"] for ph in own], [ph["q"] for ph in own], [ph["slots"][s] for ph in own]))
-    table = df.sparkSession.createDataFrame(
-        rows, "_s string, _p bigint, _used array<bigint>, _start array<bigint>, _q array<bigint>, _slots array<array<int>>"
-    )
-    if sum(len(x) for r in rows for x in r[5]) <= BROADCAST_CELLS:
-        table = F.broadcast(table)
-
-    buckets = max(1, -(-max(counts.values(), default=0) // BUCKET_ROWS))
-    order = F.xxhash64(F.lit(7), F.col(key).cast("string"))
-    spread = base.withColumns({"_s": name, "_h": order}).withColumn("_b", F.pmod(F.shiftright("_h", 7), F.lit(buckets)))
+        plan = phases(parts(target), {s: -(-n // block) for s, n in counts.items()})
+    # Buckets are ranges of the digest, so that ranks do not depend on how many there are.
+    cut = df.sparkSession.createDataFrame([(s, -(-n // BUCKET_ROWS)) for s, n in counts.items()], "_s string, _nb bigint")
+    spread = base.withColumns({"_s": name, "_h": row_hash(base, key)}).join(cut, "_s")
+    lead = F.conv(F.substring("_h", 1, 8), 16, 10).cast("bigint")
+    spread = spread.withColumn("_b", F.shiftright(lead * F.col("_nb"), 32)).drop("_nb")
     sizes = spread.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("_n"))
     before = F.sum("_n").over(W.partitionBy("_s").orderBy("_b").rowsBetween(W.unboundedPreceding, -1))
     offsets = sizes.select("_s", "_b", F.coalesce(before, F.lit(0)).cast("bigint").alias("_off"))
-    tie = F.xxhash64(*[F.col(c).cast("string") for c, kind in base.dtypes if not kind.startswith(("map", "variant"))])
-    local = F.row_number().over(W.partitionBy("_s", "_b").orderBy("_h", tie))
-    ranked = spread.withColumn("_r", local).join(offsets, ["_s", "_b"]).join(table, "_s")
+    local = F.row_number().over(W.partitionBy("_s", "_b").orderBy("_h"))
+    ranked = spread.withColumn("_r", local).join(offsets, ["_s", "_b"])
     index = (F.col("_r") - 1 + F.col("_off")).cast("bigint")
     ranked = ranked.withColumn("mix_index", index).withColumn("mix_block", F.floor(F.col("mix_index") / block).cast("bigint"))
-    phase = F.size(F.filter("_used", lambda u: u <= F.col("mix_block")))
-    ranked = ranked.withColumn("_ph", phase).withColumn("_j", F.col("mix_block") - F.element_at("_used", F.col("_ph")))
-    inner = F.element_at(F.element_at("_slots", F.col("_ph")), (F.col("_j") % F.col("_p") + 1).cast("int"))
-    slot = F.element_at("_start", F.col("_ph")) + F.floor(F.col("_j") / F.col("_p")) * F.element_at("_q", F.col("_ph")) + inner
-    return ranked.withColumn("mix_slot", slot.cast("bigint")).select(*base.columns, "mix_index", "mix_block", "mix_slot")
+    placed = ranked.join(block_slots(df.sparkSession, plan), ["_s", "mix_block"])
+    return placed.select(*[F.col(f"`{c}`") for c in base.columns], "mix_index", "mix_block", "mix_slot")
 
 
 def in_order(scheduled: DataFrame) -> DataFrame:

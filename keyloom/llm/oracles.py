@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from keyloom.llm import ego_join, signature_trees, urls
+from keyloom.llm import ego_join, mixing, signature_trees, urls
 from keyloom.llm.common import LOWER, UPPER
 
 
@@ -88,4 +88,32 @@ def url_verdicts() -> str:
     )
 
 
-SQL = {"op1_urls": url_verdicts(), "op2_near_vectors": near_vectors(), "op5_similar": similar()}
+def _phase(rows: str) -> str:
+    """One phase among ``rows(k, start, s, p, used, n)``: also its total ``q``, its length, and blocks done (``cnt``) and existing (``real``)."""
+    return f"""
+SELECT k, start, s, p, used, n, q, length, cnt, least(cnt, n) AS real FROM (
+SELECT *, f + (m AND row_number() OVER (PARTITION BY m ORDER BY f * q // p, ((f + 1) * q + p - 1) // p, s) <= length - sum(f) OVER ())::BIGINT AS cnt FROM (
+SELECT *, p * length // q AS f, p * length % q > 0 AS m FROM (
+SELECT *, max(CASE WHEN stops = 0 THEN e END) OVER () AS length FROM (
+SELECT *, sum(stop) OVER (ORDER BY e, p, s ROWS UNBOUNDED PRECEDING) AS stops FROM (
+SELECT *, CASE WHEN 2 * (q - coalesce(sum(p) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) <= q AND e > coalesce(lag(e) OVER o, 0) THEN 1 ELSE 0 END AS stop
+FROM (SELECT *, (n * q + p - 1) // p AS e FROM (SELECT *, (sum(p) OVER ())::BIGINT AS q FROM ({rows}))) WINDOW o AS (ORDER BY e, p, s))))))"""
+
+
+def mixture() -> str:
+    """Earliest deadline first, slot by slot."""
+    b = mixing.BLOCK
+    return f"""
+WITH RECURSIVE d AS (SELECT doc_id, source, coalesce(source, chr(0) || 'null') AS s, md5(doc_id::VARCHAR || chr(31) || coalesce(source, chr(0))) AS h FROM documents),
+i AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY h) - 1 AS mix_index FROM d),
+c AS (SELECT 0 AS k, 0::BIGINT AS start, s, round(1000 * sqrt(count(*)))::BIGINT AS p, 0::BIGINT AS used, ((count(*) + {b - 1}) // {b})::BIGINT AS n FROM d GROUP BY s),
+ph AS ({_phase("SELECT * FROM c")}
+UNION ALL {_phase("SELECT k + 1 AS k, (start + length)::BIGINT AS start, s, p, (used + real)::BIGINT AS used, (n - real)::BIGINT AS n FROM ph WHERE n > real")}),
+run AS (SELECT k, start, s, p, used, q, length, cnt, real, 0::BIGINT AS t, 0::BIGINT AS done FROM ph
+UNION ALL SELECT k, start, s, p, used, q, length, cnt, real, t + 1, done + (row_number() OVER (PARTITION BY k ORDER BY (done < cnt AND done * q // p <= t) DESC,
+    least(length, ((done + 1) * q + p - 1) // p), s) = 1)::BIGINT FROM run WHERE t < length),
+slots AS (SELECT s, used + done - 1 AS mix_block, min(start + t) - 1 AS mix_slot FROM run WHERE done BETWEEN 1 AND real GROUP BY k, s, used, done)
+SELECT doc_id, source, mix_index, mix_index // {b} AS mix_block, mix_slot FROM i JOIN slots ON slots.s = i.s AND slots.mix_block = mix_index // {b}"""
+
+
+SQL = {"op7_mix": mixture(), "op1_urls": url_verdicts(), "op2_near_vectors": near_vectors(), "op5_similar": similar()}
