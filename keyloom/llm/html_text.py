@@ -1,16 +1,26 @@
 """Main text of web pages by tag-path ratios.
 
 A page becomes a row of blocks: the text between two block-level tags, with the
-path of block-level tags from the root. For every path, text length, punctuation
-and link text are added up over its blocks; length per block and punctuation per
-block, both less the share of text in links, are smoothed along the page with a
-small Gaussian, fused as a geometric mean and averaged over the path. Paths that
-reach a share of the page's (text-weighted) mean are content; inside
-``article`` or ``main`` a much smaller share is enough, and if a page has one
-with text, blocks outside it are not looked at. Headings go with the container
-they stand in. Menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles and reader comments never enter: they are known by tag, role or
-a word of their class or id.
+path of block-level tags from the root to its element. For every path, text
+length, punctuation and link text are added up over its blocks; length per block
+and punctuation per block, both less the share of text in links, are smoothed
+along the page with a small Gaussian, fused as a geometric mean and averaged over
+the path. Paths that reach ``SHARE`` of the page's (text-weighted) mean are content.
+
+The content node is the innermost element that holds ``HOLDS`` of the text of
+content paths: the walk down from the root ends at ``article`` or ``main``. All of
+its text is taken, but for paths that are mostly links. Where only the body as a
+whole holds so much, the content paths are taken, and headings that stand beside
+or before them.
+
+Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and
+reader comments never enter: they are known by tag, by role, or by a token of
+their class or id that names such a thing (``sidebar``, ``cookie-notice``,
+``ad-slot``, but not ``has-sidebar``, ``ad-free`` or ``search-result``). What is
+known by class or id alone stays if most of the page's text is in it (in the case
+of comments, notices and the like: if the page's first heading is in it, too).
+
+Parsing takes time in proportion to the page, whatever it holds.
 """
 
 from __future__ import annotations
@@ -18,7 +28,7 @@ from __future__ import annotations
 import html as _html
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -27,7 +37,7 @@ from pyspark.sql import functions as F
 
 from keyloom.llm.common import bounded_batches
 
-SHARE, ARTICLE_SHARE, RADIUS = 0.25, 0.02, 2
+SHARE, HOLDS, LINKED, RADIUS = 0.25, 0.9, 0.66, 2
 _KERNEL = [math.exp(-0.5 * k * k) for k in range(RADIUS + 1)]
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _RAW = frozenset("script style title textarea noscript iframe template noframes xmp".split())
@@ -36,66 +46,126 @@ _INLINE = frozenset(
 )
 _OUT_TAGS = frozenset("nav header footer aside form button select menu dialog svg canvas object audio video head fieldset datalist math".split())
 _OUT_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
-_OUT_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disqus "
-    "footer form gdpr header login masthead menu menus modal nav navbar navigation newsletter notice notices notification pager pagination popup popover "
-    "promo promotion related replies reply respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
+_LAYOUT = frozenset("banner footer header login masthead menu menus nav navbar navigation pager pagination related search share sharing sidebar social toolbar widget breadcrumb breadcrumbs".split())
+_KINDS = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense comment comments commentlist consent cookie cookies disqus form gdpr modal newsletter notice "
+    "notices notification popover popup promo promotion replies reply respond signup sponsor sponsored subscribe".split()
 )
+_OUT_WORDS = _LAYOUT | _KINDS
+#: What may follow the name of a thing in a token: a part, a place or a wrapper of it.
+_PARTS = frozenset("area articles bar block bottom box button buttons container content data group holder icons inner item items left links list outer panel posts right row section slot stories thread top unit wrap wrapper".split())
+_MODIFIERS = frozenset("has hide is no non not show with without".split())
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
-_LISTS = frozenset(("ul", "ol", "dl", "table", "select"))
-_TAG = re.compile(
-    r"<!--(?:>|->|.*?(?:--!?>|\Z))|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+>"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>",
-    re.S,
-)
-_ATTR = re.compile(r"\b(class|id|role|style|hidden|aria-hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.I)
+_OPEN_ENDED = frozenset("p td th li dt dd".split())
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*+)")
+_STOP = re.compile(r"[>\"']")
+_ATTR = re.compile(r"([^\s=>\"'/]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
+_TELLS = re.compile(r"class|id|role|style|hidden", re.I)
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden")
 _WORD = re.compile(r"[a-z]+")
 _PUNCT = re.compile(r"[.,;:!?…。、，！？؛،]")
+_SURE, _NAMED, _KIND = 1, 2, 4
 
 
-def _unwanted(attrs: str) -> bool:
+def _named(value: str) -> int:
+    """Whether a class or id names something that is not content."""
+    found = 0
+    for token in value.lower().split():
+        words = _WORD.findall(token)
+        if not words or not _MODIFIERS.isdisjoint(words):
+            continue
+        at = next((i for i, w in enumerate(words) if w in _OUT_WORDS), None)
+        if at is not None and (words[-1] in _OUT_WORDS or all(w in _OUT_WORDS or w in _PARTS for w in words[at:])):
+            found |= _NAMED | (_KIND if not _KINDS.isdisjoint(words) else 0)
+    return found
+
+
+def _unwanted(attrs: str) -> int:
+    if not _TELLS.search(attrs):
+        return 0
+    found = 0
     for name, a, b, c in _ATTR.findall(attrs):
         name, value = name.lower(), (a or b or c).lower()
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return _SURE
         if name == "role" and value in _OUT_ROLES:
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-            return True
-        if name in ("class", "id") and not _OUT_WORDS.isdisjoint(_WORD.findall(value)):
-            return True
-    return False
+            return _SURE
+        if name == "style" and _HIDDEN.search(value):
+            return _SURE
+        if name in ("class", "id"):
+            found |= _named(value)
+    return found
 
 
 class _Page:
-    """Blocks of one page: text, path, characters in links, in an article, heading, path of the container."""
+    """Elements (parent, tag path, tag, how unwanted) and blocks (text, element, characters in links, heading) of one page."""
 
     def __init__(self, source: str):
-        self.blocks: list[tuple[str, int, int, bool, bool, int]] = []
-        self.stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, path, unwanted, in article
+        self.source = source
+        self.parent, self.path, self.tag, self.named = [0], [0], [""], [0]
+        self.blocks: list[tuple[str, int, int, bool]] = []
+        # tag, element, dropped for sure, place of the nearest block-level entry, of the nearest that ends no search for open-ended ones
+        self.stack: list[tuple[str, int, bool, int, int]] = [("", 0, False, 0, 0)]
         self.paths: dict[tuple[int, str], int] = {}
-        self.open: Counter[str] = Counter()
+        self.places: defaultdict[str, list[int]] = defaultdict(list)
         self.text: list[str] = []
         self.links = self.in_links = 0
-        at = 0
-        while (m := _TAG.search(source, at)) is not None:
-            self.add(source[at : m.start()])
-            at = m.end()
-            name = (m[2] or m[5] or "").lower()
-            if not name:
-                if m[0].startswith("<![CDATA["):
-                    self.add(m[0][9:].removesuffix("]]>"), raw=True)
+        self.quotes = {q: source.rfind(q) for q in "\"'"}
+        self.last = source.rfind(">")
+        self.scan()
+        self.flush()
+
+    def scan(self) -> None:
+        source, at, text_from = self.source, 0, 0
+        while 0 <= (lt := source.find("<", at)) < self.last:
+            at = lt + 1
+            after = source[at : at + 1]
+            if source.startswith("!--", at):
+                end, skip = self.comment_end(at), None
+            elif source.startswith("![CDATA[", at):
+                close = source.find("]]>", at)
+                end = len(source) if close < 0 else close + 3
+                skip = source[at + 8 : end if close < 0 else close]
+            elif after in ("!", "?"):
+                end, skip = source.find(">", at) + 1, None
+            elif m := _NAME.match(source, at):
+                end, skip = self.tag_end(m.end()), None
+            else:
                 continue
-            if m[1] or m[4]:
-                self.close(name)
-            elif name in _RAW:
-                end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(source, at)
-                at = end.end() if end else len(source)
+            self.add(source[text_from:lt])
+            if skip is not None:
+                self.add(skip, raw=True)
+            elif after not in ("!", "?"):
+                name = m[2].lower()
+                if m[1]:
+                    self.close(name)
+                elif name in _RAW:
+                    found = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*+>?", re.I).search(source, end)
+                    end = found.end() if found else len(source)
+                else:
+                    self.start(name, source[m.end() : end - 1])
+            at = text_from = end
+        self.add(source[text_from:])
+
+    def comment_end(self, at: int) -> int:
+        if self.source.startswith((">", "->"), at + 3):
+            return self.source.index(">", at) + 1
+        ends = [i + n for close, n in (("-->", 3), ("--!>", 4)) if (i := self.source.find(close, at + 3)) >= 0]
+        return min(ends, default=len(self.source))
+
+    def tag_end(self, at: int) -> int:
+        """One past the tag's ``>``: quoted ones do not count, unless nothing else closes the tag."""
+        pos = at
+        while m := _STOP.search(self.source, pos):
+            if m[0] == ">":
+                return m.end()
+            if m.start() >= self.quotes[m[0]]:
+                pos = m.end()
             else:
-                self.start(name, m[3] or m[6] or "")
-        self.add(source[at:])
-        self.flush()
+                pos = self.source.index(m[0], m.end()) + 1
+        self.quotes = dict.fromkeys(self.quotes, -1)  # from here on quotes are taken as they are, so this happens once
+        return self.source.index(">", at) + 1
 
     def add(self, raw_text: str, raw: bool = False) -> None:
         if raw_text and not self.stack[-1][2]:
@@ -108,19 +178,16 @@ class _Page:
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                i = len(self.stack) - 1
-                while self.stack[i][0] in _INLINE:
-                    i -= 1
-                tag, path, _, article = self.stack[i]
-                self.blocks.append((text, path, self.in_links, article, tag in _HEADINGS, self.stack[max(0, i - 1)][1]))
+                element = self.stack[self.stack[-1][3]][1]
+                self.blocks.append((text, element, self.in_links, self.tag[element] in _HEADINGS))
             self.text = []
         self.in_links = 0
 
     def pop_to(self, i: int) -> None:
-        if any(entry[0] not in _INLINE for entry in self.stack[i:]):
+        if self.stack[-1][3] >= i:
             self.flush()
         for tag, *_ in self.stack[i:]:
-            self.open[tag] -= 1
+            self.places[tag].pop()
             self.links -= tag == "a"
         del self.stack[i:]
 
@@ -134,44 +201,61 @@ class _Page:
         inline = name in _INLINE
         if not inline:
             self.flush()
-            if self.open["p"]:
-                self.close_near({"p"}, _LISTS if name in _CLOSES else frozenset())
+            if self.places["p"]:
+                self.close_near({"p"})
             if name in _CLOSES:
-                self.close_near(_CLOSES[name], _LISTS)
+                self.close_near(_CLOSES[name])
             elif name in _HEADINGS:
-                self.close_near(_HEADINGS, _LISTS)
-        _, path, out, article = self.stack[-1]
-        if not inline:
-            path = self.paths.setdefault((path, name), len(self.paths) + 1)
-        out = out or name in _OUT_TAGS or (bool(attrs) and name not in ("html", "body") and _unwanted(attrs))
-        if self.open["a"] and name == "a":
+                self.close_near(_HEADINGS)
+        elif name == "a" and self.places["a"]:
             self.close("a")
-        self.stack.append((name, path, out, article or name in ("article", "main")))
-        self.open[name] += 1
+        _, element, out, block, barrier = self.stack[-1]
+        kind = 0 if out or not attrs or name in ("html", "body") else _unwanted(attrs)
+        out = out or name in _OUT_TAGS or bool(kind & _SURE) or (inline and kind > 0)
+        at = len(self.stack)
+        if not inline:
+            self.parent.append(element)
+            self.path.append(self.paths.setdefault((self.path[element], name), len(self.paths) + 1))
+            self.tag.append(name)
+            self.named.append(kind)
+            element, block = len(self.parent) - 1, at
+            barrier = barrier if name in _OPEN_ENDED else at
+        self.stack.append((name, element, out, block, barrier))
+        self.places[name].append(at)
         self.links += name == "a"
 
-    def close_near(self, names: frozenset[str] | set[str], stop: frozenset[str]) -> None:
-        """End the innermost open element of these names, unless one of ``stop`` or a sectioning tag is nearer."""
-        for i in range(len(self.stack) - 1, 0, -1):
-            tag = self.stack[i][0]
-            if tag in names:
-                return self.pop_to(i)
-            if tag in stop or (tag not in _INLINE and tag not in ("p", "td", "th", "li", "dt", "dd")):
-                return None
-        return None
+    def close_near(self, names: frozenset[str] | set[str]) -> None:
+        """End the innermost open element of these names, unless a sectioning tag is nearer."""
+        at = max((self.places[n][-1] for n in names if self.places[n]), default=0)
+        if at and at >= self.stack[-1][4]:
+            self.pop_to(at)
 
     def close(self, name: str) -> None:
-        if name == "p" and not self.open["p"]:
-            return self.flush()
-        if self.open[name] <= 0:
-            return None
-        for i in range(len(self.stack) - 1, 0, -1):
-            tag = self.stack[i][0]
-            if tag == name:
-                return self.pop_to(i)
-            if name in _INLINE and tag not in _INLINE:
-                return None
-        return None
+        places = self.places[name]
+        if name == "p" and not places:
+            self.flush()
+        elif places and (name not in _INLINE or places[-1] > self.stack[-1][3]):
+            self.pop_to(places[-1])
+
+    def held(self, sizes: list[int]) -> list[int]:
+        """Sizes of elements with all that is in them (an element comes after its parent)."""
+        out = list(sizes)
+        for e in range(len(out) - 1, 0, -1):
+            out[self.parent[e]] += out[e]
+        return out
+
+    def wanted(self) -> list[tuple[str, int, int, bool]]:
+        """Blocks that are not in an element whose class or id names something else."""
+        sizes = [0] * len(self.parent)
+        for text, element, *_ in self.blocks:
+            sizes[element] += len(text)
+        held = self.held(sizes)
+        titled = self.held([int(t in ("h1", "main")) for t in self.tag])
+        out = [False] * len(self.parent)
+        for e in range(1, len(out)):
+            most = 2 * held[e] > held[0] and (not self.named[e] & _KIND or titled[e] > 0)
+            out[e] = out[self.parent[e]] or (self.named[e] > 0 and not most)
+        return [b for b in self.blocks if not out[b[1]]]
 
 
 def _smooth(values: list[float]) -> list[float]:
@@ -183,30 +267,65 @@ def _smooth(values: list[float]) -> list[float]:
     return out
 
 
-def main_blocks(source: str) -> list[str]:
-    """Content blocks of a page, in order."""
-    blocks = _Page(source).blocks
-    if any(b[3] for b in blocks):
-        blocks = [b for b in blocks if b[3]]
-    body = [b for b in blocks if not b[4]]
-    if not body:
-        return [b[0] for b in blocks if b[3]]
+def ratios(body: list[tuple[str, int, int]]) -> tuple[dict[int, float], dict[int, float]]:
+    """Of blocks (text, path, characters in links): each path's fused ratio, and its share of text outside links."""
     size, punct, links, count = Counter(), Counter(), Counter(), Counter()
-    for text, path, linked, *_ in body:
+    for text, path, linked in body:
         size[path] += len(text)
         punct[path] += len(_PUNCT.findall(text))
         links[path] += min(linked, len(text))
         count[path] += 1
     free = {p: 1 - links[p] / size[p] for p in size}
-    lengths = _smooth([size[b[1]] / count[b[1]] * free[b[1]] for b in body])
-    points = _smooth([(0.2 + punct[b[1]] / count[b[1]]) * free[b[1]] for b in body])
-    fused = Counter()
-    for b, a, p in zip(body, lengths, points):
-        fused[b[1]] += math.sqrt(a * p) / count[b[1]]
-    mean = sum(fused[b[1]] * len(b[0]) for b in body) / sum(len(b[0]) for b in body)
-    good = {b[1] for b in body if free[b[1]] > 0.34 and fused[b[1]] >= (ARTICLE_SHARE if b[3] else SHARE) * mean}
-    homes = {b[5] for b in body if b[1] in good} | {b[1] for b in body if b[1] in good}
-    return [b[0] for b in blocks if (b[5] in homes if b[4] else b[1] in good)]
+    lengths = _smooth([size[p] / count[p] * free[p] for _, p, _ in body])
+    points = _smooth([(0.2 + punct[p] / count[p]) * free[p] for _, p, _ in body])
+    fused: Counter[int] = Counter()
+    for (_, path, _), a, b in zip(body, lengths, points):
+        fused[path] += math.sqrt(a * b) / count[path]
+    return fused, free
+
+
+def content_paths(body: list[tuple[str, int, int]]) -> tuple[set[int], set[int]]:
+    """Paths that are content, and paths that are mostly links."""
+    fused, free = ratios(body)
+    mean = sum(fused[p] * len(t) for t, p, _ in body) / sum(len(t) for t, *_ in body)
+    linked = {p for p in free if 1 - free[p] >= LINKED}
+    return {p for p in fused if p not in linked and fused[p] >= SHARE * mean}, linked
+
+
+def main_blocks(source: str) -> list[str]:
+    """Content blocks of a page, in order."""
+    page = _Page(source)
+    blocks = page.wanted()
+    body = [(text, page.path[e], linked) for text, e, linked, heading in blocks if not heading]
+    if not body:
+        return [text for text, *_ in blocks]
+    good, linked = content_paths(body)
+    content = [not heading and page.path[e] in good for _, e, _, heading in blocks]
+    sizes = [0] * len(page.parent)
+    for (text, e, *_), own in zip(blocks, content):
+        if own:
+            sizes[page.parent[e]] += len(text)
+    held = page.held(sizes)
+    largest: dict[int, int] = {}
+    for e in range(1, len(held)):
+        best = largest.setdefault(page.parent[e], e)
+        if held[e] > held[best]:
+            largest[page.parent[e]] = e
+    node = 0
+    while page.tag[node] not in ("article", "main") and (e := largest.get(node)) is not None and held[e] >= HOLDS * held[0] > 0:
+        node = e
+    if page.tag[node] not in ("", "html", "body"):
+        inside = [e == node for e in range(len(held))]
+        for e in range(1, len(held)):
+            inside[e] = inside[e] or inside[page.parent[e]]
+        return [text for text, e, _, heading in blocks if inside[e] and (heading or page.path[e] not in linked)]
+    homes = {page.parent[e] for (_, e, *_), own in zip(blocks, content) if own}
+    out, follows = [], False
+    for (text, e, _, heading), own in zip(reversed(blocks), reversed(content)):
+        if own or (heading and (follows or page.parent[e] in homes)):
+            out.append(text)
+        follows = follows if heading else own
+    return out[::-1]
 
 
 def main_text(source: str | None) -> str:
