@@ -14,28 +14,35 @@ _BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def bounded_batches(spark: SparkSession, megabytes: int = 16, rows: int = 4096) -> None:
-    """Bound Arrow batches by bytes as well as rows, so long texts cannot fill a Python worker."""
-    spark.conf.set(_BATCH_BYTES, str(megabytes << 20))
-    spark.conf.set(_BATCH_ROWS, str(rows))
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches by bytes as well as rows, so long texts cannot fill a Python worker.
 
+    What the caller has set stays; all operators use the same bounds, so it does not matter which comes first.
+    """
+    given = spark.conf.getAll
+    for name, value in ((_BATCH_BYTES, str(16 << 20)), (_BATCH_ROWS, "4096")):
+        if name not in given:
+            spark.conf.set(name, value)
 
-def saved(df: DataFrame) -> DataFrame:
-    """Cut the lineage through a reliable checkpoint in ``spark.checkpoint.dir``.
 
-    A temporary folder stands in only where the session has none (tests).
-    """
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share, from ``spark.checkpoint.dir``; without it, one of this machine, where this machine is all there is."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return tempfile.mkdtemp(prefix="keyloom-")
+
+
+def saved(df: DataFrame) -> DataFrame:
+    """Cut the lineage through a reliable checkpoint in ``spark.checkpoint.dir``."""
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="keyloom-"))
+        sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one in tests."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="keyloom-")
-
-
 _MEMOS: dict[str, Callable[[], None]] = {}
 
 

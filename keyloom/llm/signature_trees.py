@@ -52,7 +52,6 @@ from keyloom.llm.shingles import shingle_set
 PERCENT = 80
 FAN, BLOCK = 8, 256
 HELD = 4_000_000
-_NO_KEY = -(1 << 63)
 _U = np.uint64
 
 
@@ -61,16 +60,16 @@ def _set_id(s: np.ndarray) -> int:
 
 
 def _scan(docs: DataFrame) -> DataFrame:
-    """``(k, id, n)``: the set of each of the texts ``(k, t)`` and its size."""
+    """``(k, th, id, n)``: the set of each of the texts ``(k, th, t)`` and its size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("shingles")
         for b in batches:
             sets = map(shingle_set, b.column("t").to_pylist())
             ids, sizes = zip(*((_set_id(s), len(s)) for s in sets)) if b.num_rows else ((), ())
-            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())], names=["k", "id", "n"])
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("th"), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64())], names=["k", "th", "id", "n"])
 
-    return docs.select("k", "t").mapInArrow(run, "k bigint, id bigint, n bigint")
+    return docs.select("k", "th", "t").mapInArrow(run, "k bigint, th bigint, id bigint, n bigint")
 
 
 def least_overlap(n: int, percent: int) -> int:
@@ -329,12 +328,12 @@ def _links(a: list[np.ndarray], b: list[np.ndarray] | None, percent: int, before
     return i[good], j[good]
 
 
-def _join_task(rows: list[dict], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-    """``(set id, node, root node, n)`` of one task's rows."""
+def _join_task(rows: list[dict], percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """``(set id, root id, n)`` of one task's rows."""
     seen: set[tuple[int, int]] = set()
     sides: tuple[list[dict], list[dict], list[dict]] = ([], [], [])
     for r in rows:
-        if (r["id"], r["side"]) not in seen:  # a repeated document brings its set again
+        if (r["id"], r["side"]) not in seen:  # a repeated row brings its set again
             seen.add((r["id"], r["side"]))
             sides[r["side"]].append(r)
     left, right = (sides[0], []) if sides[0] else sides[1:]
@@ -347,28 +346,29 @@ def _join_task(rows: list[dict], percent: int) -> tuple[np.ndarray, np.ndarray,
     i, j = _links(a, b or None, percent, before)
     if not len(i):
         return None
-    node, mult = np.array([r["rep"] for r in every], np.int64), np.array([r["mult"] for r in every], np.int64)
+    ids, mult = np.array([r["id"] for r in every], np.int64), np.array([r["mult"] for r in every], np.int64)
     n = np.bincount(i, mult[j], len(every)) + np.bincount(j, mult[i], len(every))
-    names, at = np.unique(node, return_inverse=True)
+    names, at = np.unique(ids, return_inverse=True)
     root = names[min_labels(len(names), at[i], at[j])][at]
     keep = n > 0
-    return np.array([r["id"] for r in every], np.int64)[keep], node[keep], root[keep], n[keep].astype(np.int64)
+    return ids[keep], root[keep], n[keep].astype(np.int64)
 
 
 def _joined(docs: DataFrame, need: DataFrame, percent: int) -> DataFrame:
-    """``(id, node, root, n)`` from all tasks. ``need``: ``(k, id, rep, mult, cells, targets)`` of the sets that meet others."""
+    """``(id, root, n)`` from all tasks. ``need``: ``(rep, rep_th, id, mult, cells, targets)`` of the sets that meet others."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("shingles")
+        last = None
         for b in batches:
-            out: dict[str, list] = {c: [] for c in ("pair", "cell", "side", "id", "rep", "mult", "cells", "s")}
+            out: dict[str, list] = {c: [] for c in ("pair", "cell", "side", "id", "mult", "cells", "s")}
             size = 0
-            for t, r in zip(b.column("t").to_pylist(), b.select(["id", "rep", "mult", "cells", "targets"]).to_pylist()):
-                s = shingle_set(t)
-                if _set_id(s) != r["id"]:
-                    continue  # another text with the same key
+            for t, r in zip(b.column("t").to_pylist(), b.select(["id", "mult", "cells", "targets"]).to_pylist()):
+                if r["id"] == last:
+                    continue  # the same row once more
+                s, last = shingle_set(t), r["id"]
                 for task in r["targets"]:
-                    row = task | {"id": r["id"], "rep": r["rep"], "mult": r["mult"], "cells": r["cells"], "s": s.tobytes()}
+                    row = task | {"id": r["id"], "mult": r["mult"], "cells": r["cells"], "s": s.tobytes()}
                     for c, v in out.items():
                         v.append(row[c])
                     size += 8 * len(s)
@@ -378,8 +378,9 @@ def _joined(docs: DataFrame, need: DataFrame, percent: int) -> DataFrame:
             if size:
                 yield pa.RecordBatch.from_pydict(out, schema)
 
-    schema = pa.schema([("pair", pa.int64()), ("cell", pa.int64()), ("side", pa.int32()), ("id", pa.int64()), ("rep", pa.int64()), ("mult", pa.int64()), ("cells", pa.list_(pa.int64())), ("s", pa.binary())])
-    shipped = docs.join(need, "k").mapInArrow(sets, "pair bigint, cell bigint, side int, id bigint, rep bigint, mult bigint, cells array<bigint>, s binary")
+    schema = pa.schema([("pair", pa.int64()), ("cell", pa.int64()), ("side", pa.int32()), ("id", pa.int64()), ("mult", pa.int64()), ("cells", pa.list_(pa.int64())), ("s", pa.binary())])
+    own = docs.join(need, (F.col("th") == F.col("rep_th")) & F.col("k").eqNullSafe(F.col("rep"))).select("t", "id", "mult", "cells", "targets")
+    shipped = own.mapInArrow(sets, "pair bigint, cell bigint, side int, id bigint, mult bigint, cells array<bigint>, s binary")
     tasks = shipped.repartition("pair").sortWithinPartitions("pair", "cell")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -397,11 +398,29 @@ def _joined(docs: DataFrame, need: DataFrame, percent: int) -> DataFrame:
         if held and (last := _join_task(held, percent)) is not None:
             yield _batch([last])
 
-    return tasks.mapInArrow(run, "id bigint, node bigint, root bigint, n bigint")
+    return tasks.mapInArrow(run, "id bigint, root bigint, n bigint")
 
 
 def _batch(found: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["id", "node", "root", "n"])
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found)], names=["id", "root", "n"])
+
+
+def _located(df: DataFrame, key: str, text: str) -> DataFrame:
+    """``df`` with ``k`` and ``th``, the place of a row: its key, and a hash of its text that tells rows of one key apart."""
+    return df.withColumns({"k": F.col(key).cast("bigint"), "t": F.coalesce(F.col(text), F.lit(""))}).withColumn("th", F.xxhash64(F.lit(29), "t"))
+
+
+def _join(df: DataFrame, key: str, text: str, percent: int, block: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Rows ``(k, th, id, n)``; classes of equal sets ``(id, rep, rep_th, mult, n)``, ``rep`` being the least key; links ``(id, root, n)``."""
+    bounded_batches(df.sparkSession)
+    docs = _located(df.select(F.col(key), F.col(text)), key, text).select("k", "th", "t")
+    rows = saved(_scan(docs))
+    place = F.struct(F.col("k").isNull().alias("none"), "k", "th")
+    grouped = rows.filter("n > 0").groupBy("id").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("mult"), F.first("n").alias("n"))
+    classes = saved(grouped.select("id", F.col("at.k").alias("rep"), F.col("at.th").alias("rep_th"), "mult", "n"))
+    cells = _cells(_routed(saved(_shared(_first_tokens(docs, percent))), classes, percent))
+    need = classes.join(_targets(cells, classes, percent, block), "id").select("rep", "rep_th", "id", "mult", "cells", "targets")
+    return rows, classes, saved(_joined(docs, need, percent))
 
 
 def similar(
@@ -411,38 +430,48 @@ def similar(
 
     Null and empty texts and texts without words have no shingles and link with
     nothing. Rows that repeat a key are separate documents but one node of the
-    graph, null keys too; a document with a null key has a component (of the
-    smallest key reachable, null if there is none) only if it links with one. Other
-    columns are not looked at; an empty table gives an empty result.
+    graph. Rows without a key are separate throughout: the component of one is that
+    of what it links with, null if nothing there has a key. Other columns are not
+    looked at; an empty table gives an empty result.
     """
-    bounded_batches(df.sparkSession)
-    docs = df.select(F.coalesce(F.col(key).cast("bigint"), F.lit(_NO_KEY)).alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-    sets = saved(_scan(docs))
-    classes = saved(sets.filter("n > 0").groupBy("id").agg(F.min("k").alias("rep"), F.count(F.lit(1)).alias("mult"), F.first("n").alias("n")))
-    cells = _cells(_routed(saved(_shared(_first_tokens(docs, percent))), classes, percent))
-    targets = _targets(cells, classes, percent, block)
-    need = classes.join(targets, "id").select(F.col("rep").alias("k"), "id", "rep", "mult", "cells", "targets")
-    tiles = saved(_joined(docs, need, percent))
+    rows, classes, tiles = _join(df, key, text, percent, block)
+    full = rows.filter("n > 0")
+    # Classes that one key's rows belong to are one node.
+    split = full.filter("k is not null").groupBy("k").agg(F.min("id").alias("v"), F.max("id").alias("last")).filter("v <> last").select("k", "v")
+    one_key = full.join(split, "k").select(F.col("id").alias("u"), "v")
+    comp = components(tiles.select(F.col("id").alias("u"), F.col("root").alias("v")).union(one_key))
     totals = tiles.groupBy("id").agg(F.sum("n").alias("linked"))
-    member = saved(sets.join(classes.select("id", "rep", "mult"), "id", "left").join(totals, "id", "left").select("k", "n", "rep", "mult", "linked"))
-    edges = tiles.select(F.col("node").alias("u"), F.col("root").alias("v")).union(member.filter("rep <> k").select(F.col("k").alias("u"), F.col("rep").alias("v")))
-    real = F.when(F.col("u") == _NO_KEY, F.lit(1 << 62)).otherwise(F.col("u")), F.when(F.col("v") == _NO_KEY, F.lit(1 << 62)).otherwise(F.col("v"))
-    comp = components(edges.select(real[0].alias("u"), real[1].alias("v"))).withColumnRenamed("node", "k")
-    no_key = F.lit(1 << 62)  # sorts last, so a component takes a real key where it has one
-    member = member.withColumn("k", F.when(F.col("k") == _NO_KEY, no_key).otherwise(F.col("k")))
-    n = F.coalesce("linked", F.lit(0)) + F.coalesce(F.col("mult") - 1, F.lit(0))
-    shown = lambda c: F.when(c != no_key, c)
-    return member.join(comp, "k", "left").select(
-        shown(F.col("k")).alias(key), F.col("n").alias("n_shingles"), n.cast("bigint").alias("n_similar"), F.when((F.col("k") != no_key) | (n > 0), shown(F.coalesce("component", "k"))).alias("component_id"),
-    )
+    whole = classes.join(comp, F.col("id") == F.col("node"), "left").join(totals, "id", "left")
+    whole = saved(whole.select("id", "rep", "mult", F.coalesce("linked", F.lit(0)).alias("linked"), F.coalesce("component", "id").alias("c")))
+    whole = whole.join(whole.groupBy("c").agg(F.min("rep").alias("component_id")), "c")
+    found = full.join(whole, "id").select("k", "n", (F.col("linked") + F.col("mult") - 1).alias("n_similar"), "component_id")
+    bare = rows.filter("n = 0").select("k", "n")
+    other = found.join(bare.select("k").distinct(), "k", "left_semi").groupBy("k").agg(F.min("component_id").alias("o"))
+    bare = bare.join(other, "k", "left").select("k", "n", F.lit(0).alias("n_similar"), F.coalesce("o", "k").alias("component_id"))
+    return found.unionByName(bare).select(F.col("k").alias(key), F.col("n").alias("n_shingles"), F.col("n_similar").cast("bigint").alias("n_similar"), "component_id")
 
 
 def keep_one(df: DataFrame, *, key: str = "doc_id", text: str = "text", percent: int = PERCENT) -> DataFrame:
-    """The rows of ``df`` that stay: of each group of linked documents the one with the smallest key.
+    """The rows of ``df`` that stay: of each group of linked documents one row, that of the smallest key.
 
-    Rows that repeat a key count as one document, of which one row stays; rows
-    without a key stay.
+    Only links group rows: of rows that repeat a key, those whose texts do not link
+    all stay, and so do texts without words. Rows without a key come after all
+    others of their group. Of rows with the same key and text the first in order of a
+    digest of all columns stays.
     """
-    found = similar(df, key=key, text=text, percent=percent)
-    stay = found.filter(F.col(key) == F.col("component_id")).select(F.col(key)).distinct()
-    return df.join(stay, key, "left_semi").dropDuplicates([key]).unionByName(df.filter(F.col(key).isNull()))
+    rows, classes, tiles = _join(df, key, text, percent, BLOCK)
+    comp = components(tiles.select(F.col("id").alias("u"), F.col("root").alias("v")))
+    group = classes.join(comp, F.col("id") == F.col("node"), "left").withColumn("c", F.coalesce("component", "id"))
+    first = group.groupBy("c").agg(F.min(F.struct(F.col("rep").isNull().alias("none"), "rep", "rep_th")).alias("at"))
+    times = rows.filter("n > 0").groupBy("k", "th").agg(F.count(F.lit(1)).alias("times"))
+    same_place = (F.col("th") == F.col("rep_th")) & F.col("k").eqNullSafe(F.col("rep"))
+    stay = saved(first.select("at.rep", "at.rep_th").join(times, same_place).select("rep", "rep_th", "times"))
+    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("whole")
+    digest = F.xxhash64(*[F.col(f"`{c}`").cast("string") for c, kind in df.dtypes if not kind.startswith(("map", "variant"))])
+    placed = df.select(whole, F.col(key).cast("bigint").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"), digest.alias("digest"))
+    placed = placed.withColumn("th", F.xxhash64(F.lit(29), "t"))
+    words = F.col("t").rlike(r"[^\x20\x09-\x0D]")
+    met = placed.filter(words).join(stay, same_place)
+    once = met.filter("times = 1").select("whole")
+    again = met.filter("times > 1").groupBy("k", "th").agg(F.min_by("whole", "digest").alias("whole")).select("whole")
+    return once.unionByName(again).unionByName(placed.filter(~words).select("whole")).select("whole.*")
