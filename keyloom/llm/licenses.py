@@ -1,18 +1,20 @@
 """License scan: phrases, and templates found by an exact set-similarity join.
 
-Native throughout. A text's words are cut into overlapping blocks of ``2 *
-STRIDE`` words, one every ``STRIDE`` words, so a passage of up to ``STRIDE``
-words lies whole in some block. A block holds a template if it has at least
-``threshold`` of the template's distinct words. Only words of some template can
-count, so a block is reduced to those, ordered from the rarest in the corpus
-(by the number of documents with the word; ties by the word). Filters, none of
-which can lose a match:
-
-* prefix: of ``n`` template words, ``need = ceil(threshold * n)`` must occur, so
-  one of the ``n - need + 1`` rarest does. Documents without any such word, and
-  blocks away from one, are never looked at again;
-* length: the reduced block has at least ``need`` words;
-* position: with the first common word at rank ``i`` of the template and ``k`` of
+Native throughout. The tokens of a wording are its pairs of neighbouring words, so
+order counts. A text's words are cut into overlapping blocks of ``2 * stride``
+words, one every ``stride`` words, so a passage of up to ``stride`` words lies
+whole in some block; templates have the least stride of 32, 128, 512 ... that
+they fit in. A block holds a template if it has at least ``threshold`` of the
+template's distinct tokens. Only tokens of some template can count, so a block is
+reduced to those, ordered from the rarest in the corpus (by the number of documents
+with the rarer word of the pair, then the other; ties by the text). Filters, none
+of which can lose a match:
+
+* prefix: of ``n`` template tokens, ``need = ceil(threshold * n)`` must occur, so
+  one of the ``n - need + 1`` rarest does, and with it its rarer word. Documents
+  without any such word, and blocks away from one, are never looked at again;
+* length: the reduced block has at least ``need`` tokens;
+* position: with the first common token at rank ``i`` of the template and ``k`` of
   the block, ``1 + min(n - 1 - i, len - 1 - k) >= need``.
 
 The templates are the only thing sent to tasks, as literals.
@@ -21,25 +23,20 @@ The templates are the only thing sent to tasks, as literals.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.llm.common import ascii_lower
+from keyloom.llm.license_texts import TEMPLATES
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-TEMPLATES: dict[str, Sequence[str]] = {
-    "mit": ("released under the mit license", "permission is hereby granted free of charge to any person obtaining a copy of this software"),
-    "apache": ("licensed under the apache license version 2 0", "you may not use this file except in compliance with the license"),
-    "gpl": ("this work is licensed under the gnu general public license version 3", "redistribute it and or modify it under the terms of the gnu general public license"),
-    "bsd": ("redistribution and use in source and binary forms with or without modification are permitted",),
-    "cc": ("licensed under cc by nc 4 0", "this work is licensed under a creative commons attribution license"),
-    "mpl": ("this source code form is subject to the terms of the mozilla public license v 2 0",),
-}
 STRIDE = 32
-THRESHOLD = 0.8
+THRESHOLD = 0.7
 
 
 def words(text: Column) -> Column:
@@ -47,7 +44,31 @@ def words(text: Column) -> Column:
 
 
 def _lits(values: Sequence[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values]) if values else F.array().cast("array<string>")
+    """An array literal (folded from one string: thousands of literals would be slow to plan)."""
+    return F.split(F.lit("|".join(values)), "\\|") if values else F.array().cast("array<string>")
+
+
+@dataclass(frozen=True)
+class Template:
+    label: str
+    text: str
+    tokens: tuple[str, ...]
+    stride: int
+
+
+def prepared(templates: Mapping[str, Sequence[str]], stride: int = STRIDE) -> list[Template]:
+    """Templates with their distinct tokens and their stride; a wording needs two words at least."""
+    out = []
+    for label, texts in sorted(templates.items()):
+        for t in texts:
+            own = re.findall("[0-9a-z]+", t.lower())
+            if len(own) < 2:
+                raise ValueError(f"template {t!r} has fewer than two words")
+            fits = stride
+            while fits < len(own):
+                fits *= 4
+            out.append(Template(label, " ".join(own), tuple(dict.fromkeys(map(" ".join, zip(own, own[1:])))), fits))
+    return out
 
 
 def vocabulary_df(rows: DataFrame, vocab: Sequence[str]) -> dict[str, int]:
@@ -86,21 +107,17 @@ def scan(
 ) -> DataFrame:
     """``keep`` and ``n_words, n_base, first_word, last_word, base_labels, labels, score, matches`` for every row.
 
-    ``matches`` lists ``(label, template, block, containment)`` of every block
-    that meets the threshold. ``score`` is 1 with a phrase, else the best
-    containment found, else 0. Null and empty texts have no words, no labels
-    and score 0. Rows are handled one by one: repeated rows and clashing column
-    names other than ``keep`` have no effect.
+    ``matches`` lists ``(label, template, first_word, containment)`` of every block
+    that meets the threshold, ``first_word`` being the block's. ``score`` is 1 with a
+    phrase, else the best containment found, else 0. Null and empty texts have no
+    words, no labels and score 0. Rows are handled one by one: repeated rows and
+    clashing column names other than ``keep`` have no effect.
     """
-    listed = [(label, t, list(dict.fromkeys(t.split()))) for label, ts in sorted(templates.items()) for t in ts]
-    longest = max((len(t.split()) for _, t, _ in listed), default=1)
-    if longest > stride:
-        raise ValueError(f"stride {stride} is shorter than a template of {longest} words")
+    listed = prepared(templates, stride)
     base = df.select(*keep, words(F.col(text)).alias("_w"))
-    vocab = sorted({w for _, _, ws in listed for w in ws})
-    df_of = vocabulary_df(base, vocab)
-    order = sorted(vocab, key=lambda v: (df_of[v], v))
-    place = {w: i for i, w in enumerate(order)}
+    df_of = vocabulary_df(base, sorted({w for t in listed for pair in t.tokens for w in pair.split()}))
+    rarer = {pair: min(pair.split(), key=lambda v: (df_of[v], v)) for t in listed for pair in t.tokens}
+    rank = {pair: (df_of[rarer[pair]], max(df_of[v] for v in pair.split()), pair) for pair in rarer}
     w = F.col("_w")
 
     gate = F.array_contains(w, "license")
@@ -111,22 +128,19 @@ def scan(
     hits = F.flatten(F.array(*[F.col(f"_p{i}") for i in range(len(phrases))]))
     base_labels = F.array_distinct(F.array_compact(F.array(*[F.when(F.size(f"_p{i}") > 0, F.lit(v)) for i, v in enumerate(phrases.values())])))
 
-    prepared = []
-    for label, t, own in listed:
-        ranked = sorted(own, key=place.__getitem__)
-        need = math.ceil(round(threshold * len(ranked), 9))
-        prepared.append((label, t, ranked, need, ranked[: len(ranked) - need + 1]))
-    rare = sorted({v for *_, prefix in prepared for v in prefix})
-    near = F.filter(F.transform(w, lambda x, i: F.when(x.isin(rare), F.floor(i / stride).cast("int"))), lambda k: k.isNotNull())
-    numbers = F.array_distinct(F.flatten(F.transform(near, lambda k: F.when(k > 0, F.array(k - 1, k)).otherwise(F.array(k)))))
-    # One entry per candidate block: its number and its template words, rarest first.
-    blocks = F.transform(
-        numbers, lambda k: F.struct(k.alias("block"), F.array_intersect(_lits(order), F.slice(w, k * stride + 1, F.lit(2 * stride))).alias("own"))
-    )
-    none = F.array().cast("array<struct<block:int,own:array<string>>>")
-    spots = spots.withColumn("_blocks", F.when(F.arrays_overlap(w, _lits(rare)), blocks).otherwise(none))
+    def blocks(rare: list[str], order: list[str], step: int) -> Column:
+        """One entry per candidate block: its first word and its template tokens, rarest first."""
+        near = F.filter(F.transform(w, lambda x, i: F.when(x.isin(rare), F.floor(i / step).cast("int"))), lambda k: k.isNotNull())
+        numbers = F.array_distinct(F.flatten(F.transform(near, lambda k: F.when(k > 0, F.array(k - 1, k)).otherwise(F.array(k)))))
 
-    def found(label: str, t: str, ranked: list[str], need: int, prefix: list[str]) -> Column:
+        def block(k: Column) -> Column:
+            own = F.slice(w, k * step + 1, F.lit(2 * step))
+            pairs = F.zip_with(own, F.slice(w, k * step + 2, F.lit(2 * step - 1)), lambda a, b: F.concat(a, F.lit(" "), b))
+            return F.struct((k * step).alias("first_word"), F.array_intersect(_lits(order), pairs).alias("own"))
+
+        return F.transform(numbers, block)
+
+    def found(t: Template, at: str, ranked: list[str], need: int, prefix: list[str]) -> Column:
         n, own = len(ranked), lambda b: b["own"]
 
         def passes(b: Column) -> Column:
@@ -138,14 +152,26 @@ def scan(
 
         def scored(b: Column) -> Column:
             share = F.size(F.array_intersect(_lits(ranked), own(b))) / F.lit(float(n))
-            return F.struct(F.lit(label).alias("label"), F.lit(t).alias("template"), b["block"].alias("block"), share.alias("containment"))
+            return F.struct(F.lit(t.label).alias("label"), F.lit(t.text).alias("template"), b["first_word"].alias("first_word"), share.alias("containment"))
 
-        kept = F.transform(F.filter("_blocks", passes), scored)
+        kept = F.transform(F.filter(at, passes), scored)
         return F.filter(kept, lambda m: m["containment"] >= need / n - 1e-9)
 
-    matches = F.when(F.size("_blocks") > 0, F.flatten(F.array(*[found(*x) for x in prepared]))).otherwise(
-        F.array().cast("array<struct<label:string,template:string,block:int,containment:double>>")
-    )
+    none = F.array().cast("array<struct<first_word:int,own:array<string>>>")
+    lists, columns = [], {}
+    for step in sorted({t.stride for t in listed}):
+        own = [t for t in listed if t.stride == step]
+        plans = []
+        for t in own:
+            ranked = sorted(t.tokens, key=rank.__getitem__)
+            need = math.ceil(round(threshold * len(ranked), 9))
+            plans.append((t, f"_b{step}", ranked, need, ranked[: len(ranked) - need + 1]))
+        rare = sorted({rarer[v] for *_, prefix in plans for v in prefix})
+        order = sorted({v for t in own for v in t.tokens}, key=rank.__getitem__)
+        columns[f"_b{step}"] = F.when(F.arrays_overlap(w, _lits(rare)), blocks(rare, order, step)).otherwise(none)
+        lists.append(F.when(F.size(f"_b{step}") > 0, F.flatten(F.array(*[found(*x) for x in plans]))).otherwise(F.array().cast("array<struct<label:string,template:string,first_word:int,containment:double>>")))
+    spots = spots.withColumns(columns)
+    matches = F.flatten(F.array(*lists)) if lists else F.array().cast("array<struct<label:string,template:string,first_word:int,containment:double>>")
     out = spots.select(*keep, F.size(w).cast("bigint").alias("n_words"), hits.alias("_hits"), base_labels.alias("_base"), matches.alias("matches"))
     best = F.coalesce(F.array_max(F.transform("matches", lambda m: m["containment"])), F.lit(0.0))
     labels = F.array_sort(F.array_union("_base", F.transform("matches", lambda m: m["label"])))
@@ -164,22 +190,28 @@ def scan(
 
 def _sql() -> str:
     """The same result without any filter: every block of every document against every template."""
-    templates = [(label, t) for label, ts in sorted(TEMPLATES.items()) for t in ts]
-    values = ", ".join(f"('{label}', string_split('{t}', ' '))" for label, t in templates)
+    listed = prepared(TEMPLATES)
+    values = ", ".join(f"('{t.label}', string_split('{'|'.join(t.tokens)}', '|'), {t.stride})" for t in listed)
+    strides = sorted({t.stride for t in listed})
     places = []
     for phrase, label in PHRASES.items():
         own = phrase.split()
         cond = " AND ".join(f"w[i + {k}] = '{v}'" for k, v in enumerate(own))
         places.append(f"SELECT doc_id, '{label}' AS label, i - 1 AS spot FROM p WHERE {cond}")
+    blocks = " UNION ALL ".join(
+        f"SELECT doc_id, {s} AS stride, list_transform(range(1, len(own)), lambda i: own[i] || ' ' || own[i + 1]) AS own FROM "
+        f"(SELECT doc_id, w[k * {s} + 1 : k * {s} + {2 * s}] AS own FROM (SELECT doc_id, w, unnest(range(0, (len(w) - 1) // {s} + 1)) AS k FROM d WHERE len(w) > 0))"
+        for s in strides
+    )
     return f"""
 WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
     '[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+'), lambda x: x <> '') AS w FROM documents),
 p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS i FROM d WHERE list_contains(w, 'license')),
 hits AS ({" UNION ALL ".join(places)}),
 h AS (SELECT doc_id, count(*) AS n_base, min(spot) AS first_word, max(spot) AS last_word, string_agg(DISTINCT label, ',' ORDER BY label) AS base_labels FROM hits GROUP BY doc_id),
-t AS (SELECT label, list_distinct(own) AS own FROM (VALUES {values}) AS v(label, own)),
-b AS (SELECT doc_id, w[k * {STRIDE} + 1 : k * {STRIDE} + {2 * STRIDE}] AS own FROM (SELECT doc_id, w, unnest(range(0, (len(w) - 1) // {STRIDE} + 1)) AS k FROM d WHERE len(w) > 0)),
-m AS (SELECT doc_id, label, len(list_intersect(t.own, b.own)) / len(t.own) AS share FROM b, t WHERE len(list_intersect(t.own, b.own)) >= ceil(round({THRESHOLD} * len(t.own), 9))),
+t AS (SELECT label, own, stride FROM (VALUES {values}) AS v(label, own, stride)),
+b AS ({blocks}),
+m AS (SELECT doc_id, label, len(list_intersect(t.own, b.own)) / len(t.own) AS share FROM b JOIN t ON b.stride = t.stride WHERE len(list_intersect(t.own, b.own)) >= ceil(round({THRESHOLD} * len(t.own), 9))),
 s AS (SELECT doc_id, max(share) AS best FROM m GROUP BY doc_id),
 l AS (SELECT doc_id, string_agg(DISTINCT label, ',' ORDER BY label) AS labels FROM (SELECT doc_id, label FROM m UNION ALL SELECT doc_id, label FROM hits) GROUP BY doc_id)
 SELECT d.doc_id, len(d.w)::BIGINT AS n_words, coalesce(h.n_base, 0)::BIGINT AS n_base, h.first_word::BIGINT AS first_word, h.last_word::BIGINT AS last_word,

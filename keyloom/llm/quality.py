@@ -6,8 +6,8 @@ The pairwise part is the sum of ``<v_i, v_j> x_i x_j`` over all pairs, got in
 time linear in the number of features. Words of the whole text are hashed to
 ``WORDS`` buckets; shares of character classes, word and line statistics and the
 metadata column ``n_chars`` are binned, one feature a bin. The fit uses at most
-``TRAIN_ROWS`` labelled documents, the first in hash order of their key; every
-document is scored.
+``TRAIN_ROWS`` labelled documents with ``TRAIN_VALUES`` features in all, the first
+in hash order; every document is scored.
 """
 
 from __future__ import annotations
@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql import Window as W
 
 from keyloom.llm.common import bounded_batches, claim, memo
 
@@ -28,6 +29,7 @@ WORDS = 1 << 14
 BINS = 16
 RANK = 8
 TRAIN_ROWS = 12_000
+TRAIN_VALUES = 16_000_000
 FOLDS = 5
 ACCEPT = 0.3
 _MEMO = 200_000
@@ -147,6 +149,95 @@ def held_out(key: Column, folds: int = FOLDS) -> Column:
     return F.coalesce(F.crc32(key.cast("string").cast("binary")) % folds == 0, F.lit(True))
 
 
+def train(
+    docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", n_chars: str = "n_chars", label: str = "quality", rows: int = TRAIN_ROWS, values: int = TRAIN_VALUES
+) -> Machine:
+    """Fit on at most ``rows`` labelled documents outside the held-out fold, with at most ``values`` features in all.
+
+    They are the first in hash order of key and text. A key labelled more than
+    once counts with its least label; null labels and null keys are left out; of
+    documents that share a key, each text counts once.
+    """
+    bounded_batches(docs.sparkSession)
+    known = labels.filter(F.col(label).isNotNull() & F.col(key).isNotNull() & ~held_out(F.col(key)))
+    known = known.groupBy(F.col(key).alias("_k")).agg(F.min(label).alias("_y"))
+    base = docs.select(F.col(key).alias("_k"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.col(n_chars).cast("bigint").alias("n"))
+    base = base.withColumn("_t", F.xxhash64(F.lit(11), "_k", "text"))
+    # Bounded: at most ``rows`` places, whatever repeats.
+    chosen = base.select("_k", "_t").join(known, "_k").distinct().orderBy("_t", "_k").limit(rows)
+    picked = base.join(F.broadcast(chosen), ["_k", "_t"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("quality")
+        seen: set[int] = set()
+        for b in batches:
+            once = [i for i, h in enumerate(b.column("_t").to_pylist()) if not (h in seen or seen.add(h))]
+            b = b.take(pa.array(once, pa.int64()))
+            got = [features(t, n) for t, n in zip(b.column("text").to_pylist(), b.column("n").to_pylist())]
+            arrays = [b.column("_t"), b.column("_y").cast(pa.int32())]
+            arrays += [pa.array([i.astype(np.int32).tobytes() for i, _ in got], pa.binary()), pa.array([x.astype(np.float32).tobytes() for _, x in got], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["h", "y", "i", "x"])
+
+    found = picked.mapInArrow(run, "h bigint, y int, i binary, x binary").groupBy("h").agg(F.min(F.struct("y", "i", "x")).alias("f")).select("h", "f.*")
+    upto = F.sum(F.length("i") / 4).over(W.orderBy("h"))  # one row for each chosen place, so a bounded window
+    data, y = [], []
+    for r in found.withColumn("upto", upto).filter(F.col("upto") <= values).toLocalIterator():
+        data.append((np.frombuffer(r["i"], np.int32), np.frombuffer(r["x"], np.float32)))
+        y.append(float(r["y"] > 0))
+    return fit(data, np.array(y))
+
+
+def score(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        if not rows:
+            return np.zeros(0)
+        start = np.cumsum([0, *(len(i) for i, _ in rows[:-1])])
+        z = self.raw(np.concatenate([i for i, _ in rows]), np.concatenate([x for _, x in rows]), start)
+        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, *, rank: int = RANK, epochs: int = 8, updates: int = 400, batch: int = 256, rate: float = 0.02, decay: float = 1e-4, seed: int = 7) -> Machine:
+    """Logistic loss, Adam over mini-batches: ``epochs`` over the rows, or as many as make ``updates`` steps. One class or no rows give the smoothed base rate."""
+    rng = np.random.default_rng(seed)
+    p = (y.sum() + 1) / (len(y) + 2)
+    m = Machine(float(np.log(p / (1 - p))), np.zeros(SIZE), rng.normal(0, 0.02, (SIZE, rank)))
+    if len(set(y.tolist())) < 2:
+        m.v[:] = 0
+        return m
+    state = {k: (np.zeros_like(a), np.zeros_like(a)) for k, a in (("w", m.w), ("v", m.v))}
+    bm, bv, t = 0.0, 0.0, 0
+    for _ in range(max(epochs, -(-updates * batch // len(rows)))):
+        order = rng.permutation(len(rows))
+        for at in range(0, len(order), batch):
+            own = order[at : at + batch]
+            ids = np.concatenate([rows[i][0] for i in own])
+            x = np.concatenate([rows[i][1] for i in own])
+            size = np.array([len(rows[i][0]) for i in own])
+            start = np.cumsum(size) - size
+            z = m.raw(ids, x, start)
+            g = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - y[own]) / len(own)
+            each = np.repeat(g, size) * x
+            vx = m.v[ids] * x[:, None]
+            s = np.repeat(np.add.reduceat(vx, start, axis=0), size, axis=0)
+            dv = each[:, None] * (s - vx)
+            gw = np.bincount(ids, each, SIZE) + decay * m.w
+            gv = np.stack([np.bincount(ids, dv[:, f], SIZE) for f in range(rank)], 1) + decay * m.v
+            t += 1
+            for k, a, grad in (("w", m.w, gw), ("v", m.v, gv)):
+                m1, m2 = state[k]
+                m1 += 0.1 * (grad - m1)
+                m2 += 0.001 * (grad * grad - m2)
+                a -= rate * (m1 / (1 - 0.9**t)) / (np.sqrt(m2 / (1 - 0.999**t)) + 1e-8)
+            gb = g.sum()
+            bm, bv = bm + 0.1 * (gb - bm), bv + 0.001 * (gb * gb - bv)
+            m.b -= rate * (bm / (1 - 0.9**t)) / (np.sqrt(bv / (1 - 0.999**t)) + 1e-8)
+    return m
+
+
+def held_out(key: Column, folds: int = FOLDS) -> Column:
+    """True for the fold that is never learnt from: ``crc32(key as text) mod folds = 0``; a null key is held out."""
+    return F.coalesce(F.crc32(key.cast("string").cast("binary")) % folds == 0, F.lit(True))
+
+
 def train(docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", n_chars: str = "n_chars", label: str = "quality", rows: int = TRAIN_ROWS) -> Machine:
     """Fit on at most ``rows`` labelled documents outside the held-out fold.
 
