@@ -20,7 +20,10 @@ def token_array(text: Column) -> Column:
 
 
 def distinct_token_array(text: Column) -> Column:
-    return F.array_distinct(token_array(text))
+    """Distinct tokens, each cut to ``MAX_TOKEN`` characters; lambdas over tokens, which are interpreted, only where one is longer."""
+    lower = F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    plain = F.array_remove(F.array_distinct(F.split(lower, "[^0-9a-z]+")), "")
+    return F.when(text.rlike(f"[0-9A-Za-z]{{{MAX_TOKEN + 1}}}"), F.array_distinct(token_array(text))).otherwise(plain)
 
 
 def tokens(df: DataFrame, text: str, *keep: str, into: str = "word") -> DataFrame:

@@ -21,6 +21,17 @@ def distinct_pairs(df: DataFrame, text: str, doc: Column) -> DataFrame:
     return pairs(df, text, doc).distinct()
 
 
+def sharded_index(df: DataFrame, text: str, doc: Column, shards: int) -> DataFrame:
+    """``(word, shard, docs)``: postings in ``shards`` chunks a word, for corpora in which one array could not list all documents of a word.
+
+    A document's shard is a hash of its name, so a word that all documents hold is
+    spread over as many tasks and rows; a chunk's documents are distinct and in byte order.
+    """
+    found = tokens(df.select(doc.cast("string").alias("doc"), F.col(text).alias("_text")), "_text", "doc")
+    grouped = found.groupBy("word", F.pmod(F.xxhash64("doc"), F.lit(shards)).cast("int").alias("shard")).agg(F.collect_set("doc").alias("docs"))
+    return grouped.select("word", "shard", F.array_sort("docs").alias("docs"))
+
+
 def inverted_index(df: DataFrame, text: str, doc: Column, *, unique_docs: bool = False, combiner: bool = True) -> DataFrame:
     """``(word, docs)`` with the distinct documents of each word in byte order.
 

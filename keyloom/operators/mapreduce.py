@@ -3,24 +3,28 @@
 Two forms share one call. *Native*: mapper is ``DataFrame -> DataFrame[key,
 value]`` and reducer a list of aggregate columns, so Catalyst plans the partial
 aggregates. *Opaque*: Python callables, run over Arrow batches, with one
-exchange between them; keys are reduced in order inside each partition.
+exchange between them; keys are reduced in order inside each partition. Map and
+combine are one pass over the rows, in pieces of ``PIECE`` pairs.
 """
 
 from __future__ import annotations
 
 import itertools
+from collections import defaultdict
 from collections.abc import Callable, Iterable, Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Any
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from keyloom.operators.partitioners import Partitioner, djb2_partition, partition_by
 
 PAIR = "key string, value string"
+PIECE = 50_000
 Mapper = Callable[[str, str], Iterable[tuple[str, str]]]
 Combiner = Callable[[str, list[str]], Iterable[str]]
 Reducer = Callable[[str, Iterator[str], int], Iterable[Sequence[Any]]]
@@ -35,58 +39,93 @@ class PythonReducer:
     columns: list[str] = field(default_factory=lambda: ["key", "value"])
 
 
-def map_pairs(df: DataFrame, mapper: Mapper) -> DataFrame:
-    """Apply ``mapper(value, doc)`` to each row of ``(doc, value)``; null values emit nothing."""
+def _batch(columns: Sequence[Sequence[Any]], schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            out = [kv for doc, value in zip(batch["doc"], batch["value"]) for kv in mapper(value, doc)]
-            yield pd.DataFrame(out, columns=["key", "value"], dtype=object)
 
-    return df.select("doc", "value").filter(F.col("value").isNotNull()).mapInPandas(run, PAIR)
+_EMITTED = pa.schema([("key", pa.string()), ("value", pa.string()), ("emits", pa.int64())])
 
 
-def combine_in_batches(pairs: DataFrame, combiner: Combiner) -> DataFrame:
-    """Map-side combine: may run on any subset of a key's values, and may drop the key."""
+def emitted(df: DataFrame, mapper: Mapper, combiner: Combiner | None = None) -> DataFrame:
+    """``(key, value, emits)``: the (combined) pairs, and rows without key that count what ``mapper(value, doc)`` emitted; null values emit nothing."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            groups: dict[str, list[str]] = {}
-            for k, v in zip(batch["key"], batch["value"]):
-                groups.setdefault(k, []).append(v)
-            out = [(k, v) for k, vs in groups.items() for v in combiner(k, vs)]
-            yield pd.DataFrame(out, columns=["key", "value"], dtype=object)
+    def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple[str, str]]]:
+        rows = ((value, doc) for b in batches for doc, value in zip(b.column("doc").to_pylist(), b.column("value").to_pylist()))
+        pairs = itertools.chain.from_iterable(mapper(value, doc) for value, doc in rows)
+        while piece := list(itertools.islice(pairs, PIECE)):
+            yield piece
 
-    return pairs.mapInPandas(run, PAIR)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in pieces(batches):
+            if combiner is None:
+                keys, values = zip(*piece)
+            else:
+                groups: defaultdict[str, list[str]] = defaultdict(list)
+                for k, v in piece:
+                    groups[k].append(v)
+                kept = {k: list(combiner(k, vs)) for k, vs in groups.items()}
+                keys, values = [k for k, vs in kept.items() for _ in vs], [v for vs in kept.values() for v in vs]
+            yield _batch([[*keys, None], [*values, None], [*[None] * len(keys), len(piece)]], _EMITTED)
 
+    return df.select("doc", "value").filter(F.col("value").isNotNull()).mapInArrow(run, "key string, value string, emits bigint")
 
-def _rows(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, str, int]]:
-    for batch in batches:
-        yield from zip(batch["key"], batch["value"], batch["pid"])
 
+def pairs_only(rows: DataFrame) -> DataFrame:
+    return rows.filter(F.col("emits").isNull()).select("key", "value")
 
-def group_reduce(pairs: DataFrame, reducer: PythonReducer, n: int, partitioner: Partitioner = djb2_partition) -> DataFrame:
-    """Place pairs by the partitioner, sort by key, call the reducer once per key.
 
-    Values stream: a group may span any number of Arrow batches and is never
-    held in memory unless the reducer keeps it. A reducer may stop early.
+def map_pairs(df: DataFrame, mapper: Mapper) -> DataFrame:
+    """Apply ``mapper(value, doc)`` to each row of ``(doc, value)``; null values emit nothing."""
+    return pairs_only(emitted(df, mapper))
+
+
+def combine_in_batches(pairs: DataFrame, combiner: Combiner) -> DataFrame:
+    """Map-side combine of given pairs: may run on any subset of a key's values, and may drop the key."""
+    return pairs_only(emitted(pairs.select(F.col("key").alias("doc"), "value"), lambda value, key: [(key, value)], combiner))
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, str, int]]:
+    for b in batches:
+        yield from zip(*(b.column(c).to_pylist() for c in ("key", "value", "pid")))
+
+
+def reduced(pairs: DataFrame, reducer: PythonReducer, n: int, partitioner: Partitioner = djb2_partition) -> DataFrame:
+    """The reducer's rows, with ``_pid`` null, and after those of each key one row that has the key's partition as ``_pid``.
+
+    Partition ``i`` of the result holds what was reduced in partition ``i``, keys in order.
     """
     placed = partition_by(pairs.withColumn("pid", partitioner(F.col("key"), n)), n, F.col("pid"))
     placed = placed.withColumn("pid", F.pmod(F.col("pid"), F.lit(n)).cast("int")).sortWithinPartitions("key")
-    names = T._parse_datatype_string(reducer.schema).fieldNames()
+    given = T._parse_datatype_string(reducer.schema)
+    schema = pa.schema([*(pa.field(f.name, to_arrow_type(f.dataType)) for f in given), pa.field("_pid", pa.int32())])
+    none = (None,) * len(given)
     fn = reducer.fn
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        out: list[Sequence[Any]] = []
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
         for (key, pid), group in itertools.groupby(_rows(batches), key=lambda r: (r[0], r[2])):
-            out.extend(fn(key, (value for _, value, _ in group), pid))
+            out += [(*row, None) for row in fn(key, (value for _, value, _ in group), pid)]
+            out.append((*none, pid))
             if len(out) >= 10_000:
-                yield pd.DataFrame(out, columns=names)
+                yield _batch(list(zip(*out)), schema)
                 out = []
         if out:
-            yield pd.DataFrame(out, columns=names)
+            yield _batch(list(zip(*out)), schema)
+
+    return placed.mapInArrow(run, T.StructType([*given.fields, T.StructField("_pid", T.IntegerType())]))
+
+
+def rows_only(out: DataFrame) -> DataFrame:
+    return out.filter(F.col("_pid").isNull()).drop("_pid")
+
 
-    return placed.mapInPandas(run, reducer.schema)
+def group_reduce(pairs: DataFrame, reducer: PythonReducer, n: int, partitioner: Partitioner = djb2_partition) -> DataFrame:
+    """Place pairs by the partitioner, sort by key, call the reducer once per key.
+
+    Values stream: a group may span any number of Arrow batches and is never
+    held in memory unless the reducer keeps it. A reducer may stop early.
+    """
+    return rows_only(reduced(pairs, reducer, n, partitioner))
 
 
 def map_reduce(
@@ -97,18 +136,18 @@ def map_reduce(
     combiner: Combiner | None = None,
     partitioner: Partitioner | None = None,
     num_partitions: int = 40,
+    partial: bool = True,
 ) -> DataFrame:
     """A job without side effects: input ``(doc, value)``, output the reducer's rows.
 
     With aggregate columns as reducer, the combiner is Spark's own partial
-    aggregate and a given partitioner places the (already aggregated) keys.
+    aggregate (with ``partial=False`` every pair is shipped as it is) and a given
+    partitioner places the (already aggregated) keys.
     """
     if isinstance(reducer, PythonReducer):
-        pairs = map_pairs(df, mapper)  # type: ignore[arg-type]
-        if combiner is not None:
-            pairs = combine_in_batches(pairs, combiner)
-        return group_reduce(pairs, reducer, num_partitions, partitioner or djb2_partition)
-    grouped = mapper(df).groupBy("key").agg(*reducer)  # type: ignore[call-arg,arg-type]
+        return group_reduce(pairs_only(emitted(df, mapper, combiner)), reducer, num_partitions, partitioner or djb2_partition)  # type: ignore[arg-type]
+    mapped = mapper(df)  # type: ignore[call-arg,arg-type]
+    grouped = (mapped if partial else mapped.repartition(num_partitions, "key")).groupBy("key").agg(*reducer)
     if partitioner is None:
         return grouped
     return partition_by(grouped, num_partitions, partitioner(F.col("key"), num_partitions)).sortWithinPartitions("key")

@@ -12,27 +12,23 @@ def _fs(df: DataFrame, path: str):
     return sc._jvm, hadoop.getFileSystem(sc._jsc.hadoopConfiguration()), hadoop
 
 
-def write_parts(df: DataFrame, key: str, line: str, output_dir: str, *, num_partitions: int, clear: bool = True) -> list[str]:
-    """Write ``line`` of each row, keys ascending inside a file, as ``part-NNNNN.txt``.
+def write_parts(df: DataFrame, line: str, output_dir: str, *, clear: bool = True) -> list[str]:
+    """Write ``line`` of each row: partition ``i`` becomes ``part-0000i.txt``, rows as they stand.
 
-    Rows are placed by the ``pid`` column when there is one. Spark commits the
-    text first; only then are its files renamed (on the shared file system, by
-    the driver, one call per file). Empty partitions leave no file. Without
+    Spark commits the text to a folder inside first; only then does earlier output
+    go and are the new files renamed (on the shared file system, by the driver, one
+    call per file), so a job that fails leaves what was there. Empty partitions leave no file. Without
     ``clear`` earlier output stays and the new lines are appended to it: the
     old file's lines come first.
     """
-    from keyloom.operators.partitioners import djb2_partition, partition_by
-
-    pid = F.col("pid") if "pid" in df.columns else djb2_partition(F.col(key), num_partitions)
-    placed = partition_by(df.select(F.col(key).alias("_k"), F.col(line).alias("value"), pid.alias("_p")), num_partitions, F.col("_p"))
     jvm, fs, out = _fs(df, output_dir)
     staging = jvm.org.apache.hadoop.fs.Path(out, "_staging")
     fs.mkdirs(out)
+    df.select(F.col(line).alias("value")).write.mode("overwrite").text(staging.toString())
     if clear:
         for status in fs.listStatus(out):
-            fs.delete(status.getPath(), True)
-    ordered = placed.sortWithinPartitions("_k").select("value")
-    ordered.write.mode("overwrite").text(staging.toString())
+            if not status.getPath().getName() == "_staging":
+                fs.delete(status.getPath(), True)
     written = []
     for status in fs.listStatus(staging):
         name = status.getPath().getName()
@@ -40,20 +36,22 @@ def write_parts(df: DataFrame, key: str, line: str, output_dir: str, *, num_part
             continue
         final = f"part-{int(name.split('-')[1]):05d}.txt"
         target = jvm.org.apache.hadoop.fs.Path(out, final)
-        if fs.exists(target):
-            sink, source = fs.append(target) if _appends(fs) else None, None
-            if sink is None:
-                _concat(jvm, fs, target, status.getPath())
-            else:
-                source = fs.open(status.getPath())
-                jvm.org.apache.hadoop.io.IOUtils.copyBytes(source, sink, 1 << 16, True)
+        if not fs.exists(target):
+            _rename(fs, status.getPath(), target)
+        elif _appends(fs):
+            jvm.org.apache.hadoop.io.IOUtils.copyBytes(fs.open(status.getPath()), fs.append(target), 1 << 16, True)
         else:
-            fs.rename(status.getPath(), target)
+            _concat(jvm, fs, target, status.getPath())
         written.append(final)
     fs.delete(staging, True)
     return sorted(written)
 
 
+def _rename(fs, source, target) -> None:
+    if not fs.rename(source, target):
+        raise OSError(f"cannot rename {source} to {target}")
+
+
 def _appends(fs) -> bool:
     return fs.getScheme() in ("hdfs", "viewfs")
 
@@ -68,7 +66,7 @@ def _concat(jvm, fs, target, extra) -> None:
         source.close()
     sink.close()
     fs.delete(target, False)
-    fs.rename(joined, target)
+    _rename(fs, joined, target)
 
 
 def write_single(df: DataFrame, key: str, line: str, path: str) -> None:
@@ -81,5 +79,5 @@ def write_single(df: DataFrame, key: str, line: str, path: str) -> None:
     if part is None:
         fs.create(out, True).close()
     else:
-        fs.rename(part, out)
+        _rename(fs, part, out)
     fs.delete(staging, True)

@@ -10,11 +10,11 @@ import time
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from keyloom.metrics import Metrics, observed, partition_keys, top_partitions
-from keyloom.operators.mapreduce import Combiner, Mapper, PythonReducer, map_reduce
+from keyloom.metrics import Metrics, last_stage
+from keyloom.operators.mapreduce import Combiner, Mapper, PythonReducer, emitted, map_reduce, pairs_only, reduced, rows_only
 from keyloom.operators.partitioners import Partitioner, djb2_partition
 from keyloom.operators.sinks import write_parts
 from keyloom.sources.text import input_manifest, read_text, readable
@@ -22,6 +22,11 @@ from keyloom.sources.text import input_manifest, read_text, readable
 log = logging.getLogger("keyloom")
 
 
+def combiner_disabled() -> bool:
+    """``MR_DISABLE_COMBINER=1`` ships every pair: no Python combiner, no partial aggregate before the exchange."""
+    return os.environ.get("MR_DISABLE_COMBINER") == "1"
+
+
 @dataclass(frozen=True)
 class Job:
     """``mapper``/``reducer``: see ``map_reduce`` (aggregates come from a function, as columns need a session). ``line`` renders a result row as text.
@@ -55,7 +60,7 @@ class Job:
         return self
 
     def effective_combiner(self) -> Combiner | None:
-        return None if os.environ.get("MR_DISABLE_COMBINER") == "1" else self.combiner
+        return None if combiner_disabled() else self.combiner
 
     def with_options(self, **changes) -> Job:
         return replace(self, **{k: v for k, v in changes.items() if v is not None})
@@ -75,39 +80,29 @@ def run(spark: SparkSession, job: Job, paths: Sequence[str]) -> Result:
     metrics = Metrics(files=len(paths), readers=job.readers, mappers=job.mappers, reducers=job.reducers)
     sizes = input_manifest(spark, good).agg(F.sum("chunks"), F.sum("bytes")).first()
     metrics.chunks, metrics.bytes_read = (int(x or 0) for x in sizes)
-    before, began = resource.getrusage(resource.RUSAGE_SELF), time.monotonic()
-    metrics.begin("map and reduce")
+    before, began, first = resource.getrusage(resource.RUSAGE_SELF), time.monotonic(), last_stage(spark)
     df = read_text(spark, good)
     if df.rdd.getNumPartitions() < min(job.mappers, metrics.chunks):
         df = df.repartition(min(job.mappers, metrics.chunks))
-    seen = None
-    if not isinstance(job.reducer, PythonReducer):
-        mapper = job.mapper
-
-        def counted(rows: DataFrame) -> DataFrame:
-            nonlocal seen
-            mapped, seen = observed(mapper(rows), "emits")
-            return mapped
-
-        out = map_reduce(df, counted, job.reducer())
+    emits, keys = Observation("emits"), Observation("keys")
+    per_partition = F.histogram_numeric("_pid", F.lit(max(2, job.reducers))).alias("keys")  # a bin for each partition: exact
+    if isinstance(job.reducer, PythonReducer):
+        rows = emitted(df, job.mapper, job.effective_combiner()).observe(emits, F.coalesce(F.sum("emits"), F.lit(0)).alias("rows"))
+        out = rows_only(reduced(pairs_only(rows), job.reducer, job.reducers, job.partitioner).observe(keys, per_partition))
     else:
-        out = map_reduce(df, job.mapper, job.reducer, combiner=job.effective_combiner(), partitioner=job.partitioner, num_partitions=job.reducers)
-    key = out.columns[0]
+        mapper = lambda rows: job.mapper(rows).observe(emits, F.count(F.lit(1)).alias("rows"))
+        out = map_reduce(df, mapper, job.reducer(), partitioner=job.partitioner, num_partitions=job.reducers, partial=not combiner_disabled())
+        pid = F.pmod(job.partitioner(F.col("key"), job.reducers), F.lit(job.reducers))
+        out = out.withColumn("_pid", pid).observe(keys, per_partition).drop("_pid")
     rendered = job.line(out) if job.line else F.concat_ws("\t", *out.columns)
-    placed = out.select(F.col(key), rendered.alias("_line"), job.partitioner(F.col(key), job.reducers).alias("pid"))
-    files = write_parts(placed, key, "_line", job.output_dir, num_partitions=job.reducers, clear=job.clear_output)
-    metrics.end("map and reduce")
+    files = write_parts(out.select(rendered.alias("_line")), "_line", job.output_dir, clear=job.clear_output)
     after = resource.getrusage(resource.RUSAGE_SELF)
     metrics.wall_s = time.monotonic() - began
     metrics.user_s, metrics.sys_s = after.ru_utime - before.ru_utime, after.ru_stime - before.ru_stime
-    metrics.emits = seen.get["rows"] if seen is not None else None
-    written = [os.path.join(job.output_dir, f) for f in files]
-    if job.metrics_file is not None and written:
-        lines = spark.read.text(written).select(F.regexp_extract("_metadata.file_name", r"part-(\d+)", 1).cast("int").alias("partition"))
-        stats = partition_keys(lines)
-        metrics.keys = int(stats.agg(F.sum("keys")).first()[0] or 0)
-        metrics.top = [(r["partition"], r["keys"]) for r in top_partitions(stats).collect()]
+    metrics.emits = emits.get["rows"]
+    metrics.take_keys(keys.get["keys"] or [])
     if job.metrics_file is not None:
+        metrics.take_stages(spark, first)
         metrics.write(job.metrics_file)
     summary = (
         f"{len(paths)} inputs, {job.readers} readers, {job.mappers} mappers, {job.reducers} reducers: {len(files)} files in {job.output_dir}, "

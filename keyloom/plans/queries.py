@@ -17,7 +17,7 @@ from keyloom.metrics import balance, partition_keys, top_partitions
 from keyloom.operators import aggregates as A
 from keyloom.operators.mapreduce import PythonReducer, map_reduce
 from keyloom.operators.partitioners import first_letter_partition, python_partition
-from keyloom.sources.tables import table
+from keyloom.sources.tables import spread, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 N_PARTS = 40
@@ -47,7 +47,7 @@ def register(oracle: str) -> Callable[[Query], Query]:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents")
+    return spread(table(spark, sf_dir, "documents"))
 
 
 def _postings(doc: str) -> str:
@@ -68,6 +68,13 @@ def inverted_index_source(spark, sf_dir):
     return _joined(A.inverted_index(_docs(spark, sf_dir), "text", F.col("source")))
 
 
+@register(_with(_W) + "SELECT word, string_agg(doc, ', ' ORDER BY doc) AS postings FROM (SELECT DISTINCT word, doc_id::VARCHAR AS doc FROM w) GROUP BY word")
+def sharded_postings(spark, sf_dir):
+    chunks = A.sharded_index(_docs(spark, sf_dir), "text", F.col("doc_id"), shards=8)
+    whole = chunks.groupBy("word").agg(F.array_sort(F.flatten(F.collect_list("docs"))).alias("docs"))
+    return _joined(whole)
+
+
 @register(_with(_W) + f"SELECT word || ' -> [' || postings || ']' AS line FROM ({_postings('source')})")
 def postings_lines(spark, sf_dir):
     return A.inverted_index(_docs(spark, sf_dir), "text", F.col("source")).select(postings_line(F.col("word"), F.col("docs")).alias("line"))

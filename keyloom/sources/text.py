@@ -6,17 +6,18 @@ so provenance survives blanks and relative paths.
 
 from __future__ import annotations
 
-import functools
 import math
 import os
 import warnings
 from collections import Counter
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHUNK_BYTES = 256 * 1024
+#: Names of input files are broadcast up to so many characters.
+NAMES_BYTES = 32 << 20
 
 
 class NoReadableInput(ValueError):
@@ -56,8 +57,8 @@ def read_text(spark: SparkSession, paths: Sequence[str], *, whole: bool = False,
     Missing paths are skipped with a warning; if none is left the call raises
     ``NoReadableInput``. A path given twice contributes its rows twice. The
     scan is one splittable ``spark.read.text`` over all distinct paths: the
-    name written by the caller comes back through a map from Spark's file URI,
-    so the plan does not grow a branch per file. ``skip_errors`` also leaves out
+    name written by the caller comes back through a join with a small table of
+    file URIs, so the plan does not grow with the number of files. ``skip_errors`` also leaves out
     files that vanish or break while they are read, instead of failing the job.
     """
     good = readable(paths)
@@ -66,28 +67,19 @@ def read_text(spark: SparkSession, paths: Sequence[str], *, whole: bool = False,
     times = Counter(good)
     reader = spark.read.option("ignoreMissingFiles", skip_errors).option("ignoreCorruptFiles", skip_errors)
     base = reader.text([_escape_glob(_spelled(p)) for p in dict.fromkeys(good)], wholetext=whole)
-    uri = F.col("_metadata.file_path")
-    names = _names(spark, list(times), uri)
-    df = base.select(names.alias("doc"), "value")
-    repeated = {p: n for p, n in times.items() if n > 1}
-    if repeated:
-        copies = functools.reduce(
-            lambda c, item: c.when(F.col("doc") == item[0], F.lit(item[1])), repeated.items(), F.when(F.lit(False), F.lit(1))
-        ).otherwise(F.lit(1))
-        df = df.select("doc", "value", F.explode(F.sequence(F.lit(1), copies)).alias("_copy")).drop("_copy")
-    return df
-
-
-def _names(spark: SparkSession, paths: list[str], uri: Column) -> Column:
-    """Map Spark's file URIs back to the caller's spelling."""
-    jvm = spark.sparkContext._jvm
-    pairs: list[Column] = []
-    for path in paths:
-        as_uri = jvm.org.apache.hadoop.fs.Path(_spelled(path)).toUri()
-        raw = as_uri.getRawPath() if _local(path) else as_uri.toString()
-        pairs += [F.lit(raw), F.lit(path)]
-    key = F.regexp_replace(uri, "^file:/+", "/") if all(map(_local, paths)) else uri
-    return F.coalesce(F.element_at(F.create_map(*pairs), key), uri)
+    uri = F.regexp_replace("_metadata.file_path", "^file:/+", "file:///")
+    return base.select(uri.alias("_uri"), "value").join(_names(spark, times), "_uri").select("doc", "value")
+
+
+def _names(spark: SparkSession, times: Counter) -> DataFrame:
+    """``(_uri, doc)``: Spark's file URI and the caller's spelling, a row for each time the path was given."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    rows = []
+    for p, n in times.items():
+        as_uri = path(_spelled(p)).toUri()
+        rows += [("file://" + as_uri.getRawPath() if _local(p) else as_uri.toString(), p)] * n
+    names = spark.createDataFrame(rows, "_uri string, doc string")
+    return F.broadcast(names) if sum(len(u) + len(p) for u, p in rows) <= NAMES_BYTES else names
 
 
 def input_manifest(spark: SparkSession, paths: Sequence[str], chunk_bytes: int = CHUNK_BYTES) -> DataFrame:

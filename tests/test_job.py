@@ -8,6 +8,7 @@ import pytest
 from keyloom.apps import APPS
 from keyloom.apps.inverted_index import POSTINGS, dedup, map_words
 from keyloom.metrics import Metrics
+from keyloom.operators.mapreduce import PythonReducer
 from keyloom.operators.sinks import write_single
 from keyloom.plans.cli import main, parse
 from keyloom.plans.job import Job, run
@@ -80,6 +81,46 @@ def test_opaque_job_and_combiner_switch(spark, files, tmp_path, monkeypatch):
     assert job.effective_combiner() is dedup
 
 
+def test_opaque_rows_lie_where_their_keys_were_reduced(spark, tmp_path):
+    (tmp_path / "t.txt").write_text("alpha beta gamma delta alpha")
+    count = PythonReducer(lambda k, vs, p: [(sum(1 for _ in vs), k), (0, k)], "n int, word string")
+    job = Job(mapper=map_words, reducer=count, reducers=7, output_dir=str(tmp_path / "o"), metrics_file=str(tmp_path / "r"))
+    result = run(spark, job, [str(tmp_path / "t.txt")])
+    want = {}
+    for word, n in (("alpha", 2), ("beta", 1), ("delta", 1), ("gamma", 1)):
+        h = 5381
+        for c in word.encode():
+            h = (h * 33 + c) % 2**64
+        want.setdefault(f"part-{h % 7:05d}.txt", []).extend([f"{n}\t{word}", f"0\t{word}"])
+    assert output(result.output_dir) == dict(sorted(want.items()))
+    assert result.metrics.keys == 4 and result.metrics.emits == 5
+    report = open(tmp_path / "r").read()
+    assert "keys: 4" in report and "pairs emitted: 5" in report and "rows: 5" in report.split("Flush")[1]
+    run(spark, replace(job, clear_output=False), [str(tmp_path / "t.txt")])
+    assert "keys: 4" in open(tmp_path / "r").read()  # reduced now, not what lies in the files
+
+
+@pytest.mark.parametrize("app", list(APPS))
+def test_combiner_switch_changes_what_the_apps_ship(spark, tmp_path, monkeypatch, app):
+    (tmp_path / "t.txt").write_text("foo foo foo bar\n" * 5)
+    job = APPS[app].with_options(reducers=3, output_dir=str(tmp_path / "o"), metrics_file=str(tmp_path / "r"))
+    combined = run(spark, job, [str(tmp_path / "t.txt")])
+    want = output(combined.output_dir)
+    monkeypatch.setenv("MR_DISABLE_COMBINER", "1")
+    plain = run(spark, job, [str(tmp_path / "t.txt")])
+    assert output(plain.output_dir) == want
+    assert combined.metrics.shuffle_rows == 2 and plain.metrics.shuffle_rows == plain.metrics.emits == combined.metrics.emits == 20
+
+
+def test_a_job_that_fails_leaves_earlier_output(spark, files, tmp_path):
+    job = APPS["word-count"].with_options(reducers=2, output_dir=str(tmp_path / "o"), metrics_file=None)
+    want = output(run(spark, job, files).output_dir)
+    bad = Job(mapper=lambda v, d: [("k", 1 // 0)], reducer=POSTINGS, reducers=2, output_dir=str(tmp_path / "o"), metrics_file=None)
+    with pytest.raises(Exception, match="ZeroDivision"):
+        run(spark, bad, files)
+    assert output(str(tmp_path / "o")) == want
+
+
 def test_word_count_app(spark, files, tmp_path):
     result = run(spark, APPS["word-count"].with_options(reducers=2, output_dir=str(tmp_path / "w"), metrics_file=str(tmp_path / "m")), files)
     assert sorted(x for v in output(result.output_dir).values() for x in v) == ["bar: 2", "baz: 1", "foo: 2"]
