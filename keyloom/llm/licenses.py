@@ -22,6 +22,7 @@ The templates are the only thing sent to tasks, as literals.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections.abc import Mapping, Sequence
@@ -33,7 +34,8 @@ from pyspark.sql import functions as F
 from keyloom.llm.common import ascii_lower
 from keyloom.llm.license_texts import TEMPLATES
 
-SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+#: ASCII but for letters and digits; written out, as the JVM's threads contend at the type checks of a union of ranges.
+SEPARATORS = "[" + "".join(f"\\x{c:02x}" for c in range(128) if not chr(c).isalnum()) + "]+"
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 STRIDE = 32
 THRESHOLD = 0.7
@@ -140,38 +142,40 @@ def scan(
 
         return F.transform(numbers, block)
 
-    def found(t: Template, at: str, ranked: list[str], need: int, prefix: list[str]) -> Column:
-        n, own = len(ranked), lambda b: b["own"]
+    def found(spec: Column, b: Column) -> Column:
+        """What of the templates ``spec`` a block holds."""
 
-        def passes(b: Column) -> Column:
-            common = F.array_intersect(_lits(prefix), own(b))
+        def passes(t: Column) -> Column:
+            common = F.array_intersect(F.slice(t["ranked"], F.lit(1), t["n"] - t["need"] + 1), b["own"])
             first = F.get(common, F.lit(0))
-            left_t = n - F.array_position(_lits(ranked), first)
-            left_b = F.size(own(b)) - F.array_position(own(b), first)
-            return (F.size(own(b)) >= need) & (F.size(common) > 0) & (1 + F.least(left_t, left_b) >= need)
+            left_t = t["n"] - F.array_position(t["ranked"], first)
+            left_b = F.size(b["own"]) - F.array_position(b["own"], first)
+            return (F.size(b["own"]) >= t["need"]) & (F.size(common) > 0) & (1 + F.least(left_t, left_b) >= t["need"])
 
-        def scored(b: Column) -> Column:
-            share = F.size(F.array_intersect(_lits(ranked), own(b))) / F.lit(float(n))
-            return F.struct(F.lit(t.label).alias("label"), F.lit(t.text).alias("template"), b["first_word"].alias("first_word"), share.alias("containment"))
+        def scored(t: Column) -> Column:
+            share = F.size(F.array_intersect(t["ranked"], b["own"])) / t["n"].cast("double")
+            return F.struct(t["label"].alias("label"), t["template"].alias("template"), b["first_word"].alias("first_word"), share.alias("containment"), t["least"].alias("least"))
 
-        kept = F.transform(F.filter(at, passes), scored)
-        return F.filter(kept, lambda m: m["containment"] >= need / n - 1e-9)
+        return F.filter(F.transform(F.filter(spec, passes), scored), lambda m: m["containment"] >= m["least"])
 
     none = F.array().cast("array<struct<first_word:int,own:array<string>>>")
+    empty = F.array().cast("array<struct<label:string,template:string,first_word:int,containment:double>>")
     lists, columns = [], {}
     for step in sorted({t.stride for t in listed}):
-        own = [t for t in listed if t.stride == step]
-        plans = []
+        own, spec, rare = [t for t in listed if t.stride == step], [], set()
         for t in own:
             ranked = sorted(t.tokens, key=rank.__getitem__)
             need = math.ceil(round(threshold * len(ranked), 9))
-            plans.append((t, f"_b{step}", ranked, need, ranked[: len(ranked) - need + 1]))
-        rare = sorted({rarer[v] for *_, prefix in plans for v in prefix})
+            rare |= {rarer[v] for v in ranked[: len(ranked) - need + 1]}
+            spec.append({"label": t.label, "template": t.text, "n": len(ranked), "need": need, "least": need / len(ranked) - 1e-9, "ranked": ranked})
         order = sorted({v for t in own for v in t.tokens}, key=rank.__getitem__)
-        columns[f"_b{step}"] = F.when(F.arrays_overlap(w, _lits(rare)), blocks(rare, order, step)).otherwise(none)
-        lists.append(F.when(F.size(f"_b{step}") > 0, F.flatten(F.array(*[found(*x) for x in plans]))).otherwise(F.array().cast("array<struct<label:string,template:string,first_word:int,containment:double>>")))
+        columns[f"_b{step}"] = F.when(F.arrays_overlap(w, _lits(sorted(rare))), blocks(sorted(rare), order, step)).otherwise(none)
+        # Templates are one folded literal, so the plan does not grow with their number.
+        literal = F.from_json(F.lit(json.dumps(spec)), "array<struct<label:string,template:string,n:int,need:int,least:double,ranked:array<string>>>")
+        held = F.flatten(F.transform(f"_b{step}", lambda b: found(literal, b)))  # noqa: B023
+        lists.append(F.when(F.size(f"_b{step}") > 0, F.transform(held, lambda m: m.dropFields("least"))).otherwise(empty))
     spots = spots.withColumns(columns)
-    matches = F.flatten(F.array(*lists)) if lists else F.array().cast("array<struct<label:string,template:string,first_word:int,containment:double>>")
+    matches = F.flatten(F.array(*lists)) if lists else empty
     out = spots.select(*keep, F.size(w).cast("bigint").alias("n_words"), hits.alias("_hits"), base_labels.alias("_base"), matches.alias("matches"))
     best = F.coalesce(F.array_max(F.transform("matches", lambda m: m["containment"])), F.lit(0.0))
     labels = F.array_sort(F.array_union("_base", F.transform("matches", lambda m: m["label"])))

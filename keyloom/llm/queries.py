@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from keyloom.llm import bpe, ego_join, html_text, kmeans_tree, licenses, mixing, oracles, quality, signature_trees, substrings, urls
+from keyloom.sources.tables import spread
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def query(fn: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -39,7 +40,6 @@ def op6_licenses(spark, sf_dir):
 
 
 
-
 @query
 def op1_urls(spark, sf_dir):
     return urls.judge(_table(spark, sf_dir, "pages"))
