@@ -43,6 +43,20 @@ def saved(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def parts_of(spark: SparkSession, path: str) -> dict[int, str]:
+    """Files of a written table by the number of the task that wrote them."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(hadoop)
+    names = [f.getPath().getName() for f in found]
+    return {int(n.split("-")[1]): f"{path}/{n}" for n in names if n.startswith("part-")}
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Delete a folder that is no longer read."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
 _MEMOS: dict[str, Callable[[], None]] = {}
 
 

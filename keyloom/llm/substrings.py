@@ -8,9 +8,12 @@ is those suffixes of a batch of texts, sorted by the fingerprint of their first
 fingerprint instead of by the bytes spreads evenly over partitions; equal strings
 stand together either way.)
 
-``SuffixFamily`` keeps the arrays of earlier batches in levels. A new batch's
-array is merge-scanned with the levels; then arrays of the same level merge, each
-into the next, so ``n`` batches leave at most ``log2 n + 1`` arrays.
+``SuffixFamily`` keeps the arrays of earlier batches in levels, each a table in the
+shared folder of as many sorted files as there are partitions; equal anchors lie
+in files of the same number. A new batch is sorted once; a task then merges the
+files of its number, of the batch and of all levels, as sorted streams, and scans
+the runs that the batch takes part in. Arrays of the same level are merged the same
+way, without a shuffle, into the next, so ``n`` batches leave at most ``log2 n + 1`` arrays.
 
 A scan yields, for runs of equal ``GRAM`` bytes:
 
@@ -21,27 +24,32 @@ A scan yields, for runs of equal ``GRAM`` bytes:
   A run with more than ``HOT`` surroundings has its strings grouped by Spark
   instead of inside one task.
 
-Fingerprints are 64 bits; texts are known by a 64-bit hash too, and copies of a
-text are recognised by it before anything is compared.
+Fingerprints are 64 bits. Texts are known by 92 bits of two hashes; copies of a
+text are recognised by them before anything is compared, and a task that meets
+several brings the entries of one.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.fs
+import pyarrow.parquet as pq
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from keyloom.llm.common import bounded_batches, claim, saved
+from keyloom.llm.common import bounded_batches, claim, parts_of, removed, saved, shared_dir
 from keyloom.llm.suffix import _BASE, _BYTE, GRAM, LENGTH, REACH, Prints, anchors, mix
 
-BATCHES = 2
+BATCHES = 4
 HOT = 200_000
 HELD = 4_000_000
+SEEN = 1_000_000
 _FULL, _PART, _HOT = 1, 2, 4
 _U = np.uint64
 _ENTRY = "fp bigint, h bigint, uid bigint, pos int"
@@ -51,17 +59,33 @@ def text_id(text: Column) -> Column:
     return F.xxhash64(F.lit(41), text, F.octet_length(text))
 
 
+def more_id(text: Column) -> Column:
+    """28 bits more, to tell texts of one ``text_id`` apart."""
+    return F.xxhash64(F.lit(43), text).bitwiseAND(F.lit((1 << 28) - 1))
+
+
+def _told_apart(rows: DataFrame) -> DataFrame:
+    """Rows with ``uid`` and ``more``, a new ``uid`` for texts that differ in the second only (3 among 10^10 texts, so they are listed)."""
+    apart = rows.groupBy("uid").agg(F.min("more").alias("a"), F.max("more").alias("b")).filter("a <> b").select("uid")
+    listed = [r["uid"] for r in apart.collect()]
+    return rows.withColumn("uid", F.when(F.col("uid").isin(listed), F.xxhash64(F.lit(47), "uid", "more")).otherwise(F.col("uid"))) if listed else rows
+
+
 def suffix_array(texts: DataFrame) -> DataFrame:
     """Entries ``(fp, h, uid, pos)`` of the rows ``(uid, t)``; not sorted yet."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         claim("substrings")
+        seen: set[int] = set()
         for b in batches:
             parts: list[tuple] = []
             for uid, text in zip(b.column("uid").to_pylist(), b.column("t").cast(pa.binary())):
                 raw = text.as_py()
-                if len(raw) < LENGTH:
+                if len(raw) < LENGTH or uid in seen:
                     continue
+                if len(seen) >= SEEN:
+                    seen.clear()
+                seen.add(uid)
                 prints = Prints(raw)
                 pos, fp = anchors(prints)
                 low = np.maximum(0, pos - REACH)
@@ -75,11 +99,13 @@ def suffix_array(texts: DataFrame) -> DataFrame:
     return texts.mapInArrow(run, _ENTRY)
 
 
-def _marks(fp: np.ndarray, h: np.ndarray, uid: np.ndarray, pos: np.ndarray, open_end: bool, hot: int) -> pa.RecordBatch:
-    """Marked entries of sorted whole runs; with ``open_end`` the run goes on in another piece."""
+def _marks(fp: np.ndarray, h: np.ndarray, uid: np.ndarray, pos: np.ndarray, fresh: np.ndarray, open_end: bool, hot: int) -> pa.RecordBatch:
+    """Marked entries of whole runs that hold a fresh entry; with ``open_end`` the run goes on in another piece."""
+    order = np.lexsort((pos, uid, h, fp))
+    fp, h, uid, pos, fresh = (x[order] for x in (fp, h, uid, pos, fresh))
     new = np.ones(len(fp), bool)  # the first of equal (fp, h, uid, pos): copies of a text bring the same entry again
     new[1:] = (fp[1:] != fp[:-1]) | (h[1:] != h[:-1]) | (uid[1:] != uid[:-1]) | (pos[1:] != pos[:-1])
-    fp, h, uid, pos = fp[new], h[new], uid[new], pos[new]
+    fp, h, uid, pos, fresh = fp[new], h[new], uid[new], pos[new], fresh[new]
     f_start = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
     first = np.concatenate([[True], (h[1:] != h[:-1]) | (fp[1:] != fp[:-1])])
     h_start = np.flatnonzero(first)
@@ -88,78 +114,132 @@ def _marks(fp: np.ndarray, h: np.ndarray, uid: np.ndarray, pos: np.ndarray, open
     kinds = np.repeat(np.add.reduceat(first.astype(np.int64), f_start), np.diff(np.append(f_start, len(fp))))
     part = first & ((kinds > 1) | open_end)
     mark = full * _FULL + part * (_PART + _HOT * ((kinds > hot) | open_end))
-    keep = mark > 0
+    met = np.repeat(np.maximum.reduceat(fresh, f_start), np.diff(np.append(f_start, len(fp)))) | open_end
+    keep = (mark > 0) & met
     return pa.RecordBatch.from_arrays([pa.array(uid[keep]), pa.array(pos[keep].astype(np.int64) * 8 + mark[keep])], names=["uid", "mark"])
 
 
-def _sorted_runs(entries: DataFrame) -> DataFrame:
-    return entries.repartition("fp").sortWithinPartitions("fp", "h", "uid", "pos")
+_Rows = list[np.ndarray]
 
 
-def merge_scan(arrays: list[DataFrame], hot: int = HOT, most: int = HELD) -> DataFrame:
-    """``(uid, mark)`` with ``mark = pos * 8 + flags`` for suffixes that meet another of any of the arrays.
+def _stream(path: str) -> Iterator[_Rows]:
+    """A sorted file in pieces of its columns."""
+    fs, at = pa.fs.FileSystem.from_uri(path)
+    with fs.open_input_file(at) as source:
+        for b in pq.ParquetFile(source).iter_batches(1 << 17, columns=["fp", "h", "uid", "pos"]):
+            yield [c.to_numpy() for c in b.columns]
 
-    A run of more than ``most`` entries is marked piece by piece, each suffix for comparison.
-    """
-    entries = arrays[0]
-    for a in arrays[1:]:
-        entries = entries.unionByName(a)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        claim("substrings")
-        held = [np.zeros(0, np.int64)] * 4
-        going_on = None  # the anchor of a run too long to hold, part of which is done
-        for b in batches:
-            held = [np.concatenate([x, b.column(c).to_numpy()]) for x, c in zip(held, ("fp", "h", "uid", "pos"))]
-            if going_on is not None and (more := int(np.searchsorted(held[0], going_on, "right"))):
-                yield _marks(*(x[:more] for x in held), True, hot)
-                held = [x[more:] for x in held]
-            if not len(held[0]):
+def _cat(parts: list[_Rows]) -> _Rows:
+    return [np.concatenate(c) for c in zip(*parts)]
+
+
+def _merge(streams: list[Iterator[_Rows]], fresh: list[bool], most: int) -> Iterator[tuple[_Rows, bool]]:
+    """Runs of equal anchors from sorted streams: ``(fp, h, uid, pos, from a fresh stream)``, whole, or in pieces (then True) where one has more than ``most`` entries."""
+    none = [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.int32)]
+    held, open_, going_on = [none] * len(streams), [True] * len(streams), None
+
+    def take(cuts: list[int]) -> _Rows:
+        out = _cat([[*(x[:c] for x in rows), np.full(c, f)] for rows, c, f in zip(held, cuts, fresh)])
+        held[:] = [[x[c:] for x in rows] for rows, c in zip(held, cuts)]
+        return out
+
+    while True:
+        for i, rows in enumerate(held):
+            if open_[i] and not len(rows[0]):
+                held[i], open_[i] = (more, True) if (more := next(streams[i], None)) is not None else (rows, False)
+        if not any(len(rows[0]) for rows in held):
+            if not any(open_):
+                return
+            continue
+        reading = [int(rows[0][-1]) for rows, o in zip(held, open_) if o]
+        if going_on is not None:
+            cuts = [int(np.searchsorted(rows[0], going_on, "right")) for rows in held]
+            if sum(cuts):
+                yield take(cuts), True
                 continue
             going_on = None
-            cut = int(np.searchsorted(held[0], held[0][-1]))
-            if cut:
-                yield _marks(*(x[:cut] for x in held), False, hot)
-                held = [x[cut:] for x in held]
-            elif len(held[0]) > most:
-                going_on = held[0][0]
-                yield _marks(*held, True, hot)
-                held = [x[:0] for x in held]
-        if len(held[0]):
-            yield _marks(*held, False, hot)
-
-    return _sorted_runs(entries).mapInArrow(run, "uid bigint, mark bigint")
+        if not reading:
+            yield take([len(rows[0]) for rows in held]), False
+            return
+        limit = min(reading)  # anchors before it are complete
+        cuts = [int(np.searchsorted(rows[0], limit)) for rows in held]
+        if sum(cuts):
+            yield take(cuts), False
+            continue
+        if sum(int(np.searchsorted(rows[0], limit, "right")) for rows in held) > most:
+            going_on = limit
+            continue
+        i = next(i for i, (rows, o) in enumerate(zip(held, open_)) if o and rows[0][-1] == limit)
+        if (more := next(streams[i], None)) is None:
+            open_[i] = False
+        else:
+            held[i] = _cat([held[i], more])
 
 
 class SuffixFamily:
-    """Suffix arrays of the batches so far, at most one a level."""
+    """Suffix arrays of the batches so far, at most one a level, in a folder of their own."""
+
+    def __init__(self, spark: SparkSession, hot: int = HOT, most: int = HELD) -> None:
+        self.spark, self.hot, self.most = spark, hot, most
+        self.folder = f"{shared_dir(spark)}/suffixes-{uuid.uuid4().hex}"
+        self.n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        self.levels: dict[int, str] = {}
+        self.written = 0
+
+    def _write(self, rows: DataFrame) -> str:
+        self.written += 1
+        path = f"{self.folder}/{self.written}"
+        rows.write.option("compression", "zstd").parquet(path)
+        return path
+
+    def _tasks(self, arrays: list[str], fresh: list[bool], finish: Callable[[Iterator[tuple[_Rows, bool]]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+        """One task per number of a file: ``finish`` gets the merged runs of the arrays' files of this number."""
+        files = [parts_of(self.spark, a) for a in arrays]
+        most = self.most
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            claim("substrings")
+            for b in batches:
+                for k in b.column("id").to_pylist():
+                    own = [(f[k], new) for f, new in zip(files, fresh) if k in f]
+                    yield from finish(_merge([_stream(path) for path, _ in own], [new for _, new in own], most))
+
+        return self.spark.range(0, self.n, 1, self.n).mapInArrow(run, schema)
+
+    def add(self, texts: DataFrame, *, keep: bool = True) -> DataFrame:
+        """Add a batch ``(uid, t)``. Returns ``(uid, mark)``, ``mark = pos * 8 + flags``, of the suffixes in runs that the batch has part in.
+
+        A run of more than ``most`` entries is marked piece by piece, each suffix
+        for comparison. ``keep=False`` for a last batch: nothing is merged.
+        """
+        own = self._write(suffix_array(texts).repartition(self.n, "fp").sortWithinPartitions("fp", "h", "uid", "pos"))
+        hot = self.hot
 
-    def __init__(self) -> None:
-        self.levels: dict[int, DataFrame] = {}
+        def scan(runs: Iterator[tuple[_Rows, bool]]) -> Iterator[pa.RecordBatch]:
+            for rows, open_end in runs:
+                yield _marks(*rows, open_end, hot)
 
-    def add(self, texts: DataFrame, *, scan: bool = True, keep: bool = True, hot: int = HOT) -> DataFrame | None:
-        """Add a batch ``(uid, t)``; the matches of the enlarged family, if asked for.
+        def store(runs: Iterator[tuple[_Rows, bool]]) -> Iterator[pa.RecordBatch]:
+            for rows, _ in runs:
+                order = np.lexsort((rows[3], rows[2], rows[1], rows[0]))
+                yield pa.RecordBatch.from_arrays([pa.array(x[order]) for x in rows[:4]], names=["fp", "h", "uid", "pos"])
 
-        ``keep=False`` for a last batch: its array is scanned, not stored.
-        """
-        own = suffix_array(texts)
-        if keep:
-            own = saved(_sorted_runs(own))
-        found = merge_scan([*self.levels.values(), own], hot) if scan else None
+        arrays = [*self.levels.values(), own]
+        found = saved(self._tasks(arrays, [a == own for a in arrays], scan, "uid bigint, mark bigint").distinct())
         if keep:
             level, merged = 0, [own]
             while level in self.levels:
                 merged.append(self.levels.pop(level))
                 level += 1
-            if len(merged) > 1:
-                found = saved(found) if found is not None else None
-                whole = merged[0]
-                for m in merged[1:]:
-                    whole = whole.unionByName(m)
-                own = saved(_sorted_runs(whole))
-            self.levels[level] = own
+            self.levels[level] = own if len(merged) == 1 else self._write(self._tasks(merged, [True] * len(merged), store, _ENTRY))
+            for old in merged if len(merged) > 1 else []:
+                removed(self.spark, old)
         return found
 
+    def close(self) -> None:
+        removed(self.spark, self.folder)
+
 
 _WIDE = 2 * REACH
 _OFFSETS = np.concatenate([-1 - np.arange(REACH), GRAM + np.arange(REACH)])
@@ -305,19 +385,20 @@ def dedup(df: DataFrame, *, key: str = "doc_id", text: str = "text", batches: in
     others = [c for c in base.columns if c != text] if texts else [key]
     value, seen = F.coalesce(F.col(text), F.lit("")), F.xxhash64(F.col(key).cast("string"))
     carried = F.struct(F.col(text).isNull().alias("none"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(others)])
-    rows = base.select(text_id(value).alias("uid"), value.alias("t"), carried.alias("r"), seen.alias("seen"))
+    rows = base.select(text_id(value).alias("uid"), more_id(value).alias("more"), value.alias("t"), carried.alias("r"), seen.alias("seen"))
     size = F.octet_length("t")
-    family, found = SuffixFamily(), None
+    rows = _told_apart(rows)
+    family, found = SuffixFamily(df.sparkSession, hot), None
     for i in range(batches):
-        last = i == batches - 1
         part = rows.select("uid", "t").filter((size >= LENGTH) & (F.pmod("uid", F.lit(batches)) == i))
-        found = family.add(part, scan=last, keep=not last, hot=hot)
-    found = saved(found)
+        marks = family.add(part, keep=i < batches - 1)
+        found = marks if found is None else found.unionByName(marks)
+    family.close()
     any_hot = bool(found.filter(F.col("mark").bitwiseAND(F.lit(_HOT)) > 0).limit(1).count())
 
     # What is known of each text; of a text's copies, the one with the least key stands for all in comparisons.
     copies = rows.groupBy("uid").agg(F.count(F.lit(1)).alias("mult"), F.min("seen").alias("least"))
-    known = copies.join(found.groupBy("uid").agg(F.collect_list("mark").alias("marks")), "uid", "left")
+    known = copies.join(found.groupBy("uid").agg(F.collect_set("mark").alias("marks")), "uid", "left")
     joined = rows.join(known, "uid").withColumns({"whole": (F.col("mult") > 1) & (size >= LENGTH), "lead": F.col("seen") == F.col("least")})
     cut = F.col("marks").isNotNull() & ~F.col("whole")
     compared = F.col("marks").isNotNull() & F.col("lead")

@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from keyloom.llm import substrings, suffix
 from keyloom.llm.queries import QUERIES
@@ -59,10 +60,33 @@ def test_planted_against_brute_force(spark, batches, hot):
 def test_long_runs_in_pieces(spark, monkeypatch):
     rows = planted(1)
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    real = substrings.merge_scan
-    monkeypatch.setattr(substrings, "merge_scan", lambda arrays, hot: real(arrays, 2, 3))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
-    monkeypatch.setattr(substrings, "bounded_batches", lambda s: None)
+    real = substrings.SuffixFamily
+    monkeypatch.setattr(substrings, "SuffixFamily", lambda spark, hot: real(spark, 2, 3))
+    assert digest(substrings.dedup(df, texts=False)) == brute(rows)
+
+
+def test_merge_of_streams():
+    rng = np.random.default_rng(1)
+    for most in (3, 1000):
+        parts, files = [], []
+        for _ in range(3):
+            fp = np.sort(rng.integers(0, 30, 80))
+            parts.append(fp)
+            files.append(iter([[fp[i : i + 7], fp[i : i + 7], fp[i : i + 7], fp[i : i + 7].astype(np.int32)] for i in range(0, 80, 7)]))
+        got = list(substrings._merge(files, [True, False, False], most))
+        assert sorted(np.concatenate([r[0] for r, _ in got])) == sorted(np.concatenate(parts))
+        assert sum(r[4].sum() for r, _ in got) == 80
+        last = -1
+        for rows, piece in got:
+            assert rows[0].min() > last or (piece and rows[0].min() == last)
+            last = rows[0].max()
+            assert not piece or most == 3
+
+
+def test_texts_of_one_hash_are_told_apart(spark, monkeypatch):
+    monkeypatch.setattr(substrings, "text_id", lambda text: F.length(text).cast("bigint") % 3)
+    rows = planted(3)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
     assert digest(substrings.dedup(df, texts=False)) == brute(rows)
 
 
@@ -85,9 +109,11 @@ def test_texts_and_edges(spark):
 
 
 def test_family_levels(spark):
-    fam = substrings.SuffixFamily()
+    fam = substrings.SuffixFamily(spark)
     for i in range(5):
         t = spark.createDataFrame([(i, "abc %d " % i * 60)], "uid long, t string")
-        found = fam.add(t)
-        assert found.count() > 0
+        assert fam.add(t).count() > 0
     assert sorted(fam.levels) == [0, 2]
+    whole = spark.read.parquet(fam.levels[2])
+    assert {r.uid for r in whole.select("uid").distinct().collect()} == {0, 1, 2, 3}
+    fam.close()
