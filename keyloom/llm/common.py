@@ -20,7 +20,7 @@ def bounded_batches(spark: SparkSession) -> None:
     What the caller has set stays; all operators use the same bounds, so it does not matter which comes first.
     """
     given = spark.conf.getAll
-    for name, value in ((_BATCH_BYTES, str(16 << 20)), (_BATCH_ROWS, "4096")):
+    for name, value in ((_BATCH_BYTES, str(8 << 20)), (_BATCH_ROWS, "4096")):
         if name not in given:
             spark.conf.set(name, value)
 

@@ -76,3 +76,26 @@ def test_each_stage_against_brute_force(spark, sf, tmp_path):
 def test_run_gives_the_last_stage(spark, sf):
     got = cp.run(spark, sf)
     assert got.columns == ["doc_id", "source", "n_tokens", "ids", "decoded_sha256"] and got.count() > 0
+
+
+def test_stages_with_nulls_repeats_and_no_rows(spark, sf, tmp_path):
+    long = "a passage that several documents hold, word by word, " * 6
+    rows = [
+        (None, None, None, None, None), (None, long, "en", "s", len(long)), (1, None, "en", None, 0), (1, None, "en", None, 0), (2, "", "en", "s", 0), (3, long, "en", "s", len(long)),
+        (3, long, "en", "s", len(long)), (4, "short text of four", "en", "t", 18), (4, "another under the same id", "en", "t", 25), (5, "x " * 30000, "en", "u", 60000),
+    ]
+    schema = spark.read.parquet(f"{sf}/documents.parquet").schema
+    docs = spark.createDataFrame(rows, schema)
+    stages = dict(cp.STAGES)
+    for name, stage in cp.STAGES:
+        assert stage(spark, docs.limit(0), sf).count() == 0, name
+        got = stage(spark, docs, sf)
+        if name != "bpe":
+            assert got.columns == docs.columns, name
+    assert 0 <= stages["quality_classifier"](spark, docs, sf).count() <= len(rows)
+    kept = sorted(((r.doc_id, r.text) for r in stages["ngram_jaccard_join"](spark, docs, sf).collect()), key=repr)
+    assert kept == sorted([(None, None), (1, None), (1, None), (2, ""), (3, long), (4, "short text of four"), (4, "another under the same id"), (5, "x " * 30000)], key=repr)
+    cut = sorted(((r.doc_id, r.text if r.text is None or len(r.text) < 30 else "long") for r in stages["suffix_array_dedup"](spark, docs, sf).collect()), key=repr)
+    assert cut == sorted([(None, None), (None, ""), (1, None), (1, None), (2, ""), (3, ""), (3, ""), (4, "short text of four"), (4, "another under the same id"), (5, "")], key=repr)
+    assert rowset(stages["mixing"](spark, docs, sf)) == sorted(rows, key=repr)
+    assert [r.n_tokens for r in stages["bpe"](spark, docs, sf).filter("doc_id = 2").collect()] == [0]
