@@ -471,7 +471,9 @@ def keep_one(df: DataFrame, *, key: str = "doc_id", text: str = "text", percent:
     placed = df.select(whole, F.col(key).cast("bigint").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"), digest.alias("digest"))
     placed = placed.withColumn("th", F.xxhash64(F.lit(29), "t"))
     words = F.col("t").rlike(r"[^\x20\x09-\x0D]")
-    met = placed.filter(words).join(stay, same_place)
-    once = met.filter("times = 1").select("whole")
-    again = met.filter("times > 1").groupBy("k", "th").agg(F.min_by("whole", "digest").alias("whole")).select("whole")
-    return once.unionByName(again).unionByName(placed.filter(~words).select("whole")).select("whole.*")
+    met = placed.join(stay, same_place, "left")
+    kept = met.filter(~words | (F.col("times") == 1)).select("whole")
+    if stay.filter("times > 1").limit(1).count():  # else the texts need not be moved a second time
+        again = met.filter(words & (F.col("times") > 1)).groupBy("k", "th").agg(F.min_by("whole", "digest").alias("whole"))
+        kept = kept.unionByName(again.select("whole"))
+    return kept.select("whole.*")
