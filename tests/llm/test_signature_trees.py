@@ -1,9 +1,12 @@
+import os
 import random
 import re
+import time
 
 import numpy as np
 import pytest
 
+from keyloom.llm import common
 from keyloom.llm import signature_trees as st
 from keyloom.llm.queries import QUERIES
 
@@ -133,3 +136,47 @@ def test_many_linked_rows_without_a_key(spark):
         rows += [(None, " ".join(w)), (None, " ".join([*w, "more"]))]
     got = st.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert len(got) == 2000 and all((r.doc_id, r.n_similar, r.component_id) == (None, 1, None) for r in got)
+
+
+def test_saved_results_leave_no_shuffle_files(spark):
+    files = lambda: {f for f in str(spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles().mkString("\n")).split("\n") if "shuffle_" in f}
+    before = files()
+    kept = common.saved(spark.range(1000).groupBy((st.F.col("id") % 100).alias("g")).count().repartition(3, "g"))
+    for _ in range(50):
+        if not files() - before:
+            break
+        time.sleep(0.1)
+    assert not files() - before
+    assert kept.count() == 100
+    path = kept._jdf.queryExecution().logical().rdd().getCheckpointFile().get().removeprefix("file:")
+    assert os.path.exists(path)
+    common.freed(kept)
+    assert not os.path.exists(path)
+
+
+def test_small_sets_are_not_shipped_many_times(spark):
+    met = spark.range(600).select(st.F.lit(1).cast("bigint").alias("cell"), "id")
+    classes = spark.range(600).select("id", st.F.lit(50).cast("bigint").alias("n"))
+    assert {len(r.targets) for r in st._targets(met, classes, 80, 256).collect()} == {1}
+
+
+def test_many_pairs_as_products(monkeypatch):
+    rng = np.random.default_rng(7)
+    base = np.unique(rng.integers(1, 1 << 63, 400, dtype=np.uint64))
+    sets = [np.unique(np.concatenate([base[rng.random(len(base)) < 0.9], rng.integers(1, 1 << 63, rng.integers(0, 9), dtype=np.uint64)])) for _ in range(160)]
+    pairs = [(i, j) for i in range(160) for j in range(i + 1, 160)]
+    want = [st.linked(sets[i], sets[j], 80) for i, j in pairs]
+    assert 0 < sum(want) < len(want)
+    monkeypatch.setattr(st, "linked", None)  # not pair by pair
+    i, j = np.array(pairs).T
+    assert st._verified(sets, i, j, 80, wide=100).tolist() == want
+
+
+def test_places_hold_all_they_were_given(spark):
+    th = spark.range(3000).select(st.F.xxhash64("id").alias("th"))
+    for most in (1 << 10, 1 << 26):
+        near = st.Places(th.filter("th % 3 = 0"), most).may_hold(st.F.col("th"))
+        held = {r.th for r in th.filter(near).collect()}
+        assert held >= {r.th for r in th.collect() if r.th % 3 == 0}
+    assert len(held) < 1500
+    assert th.filter(st.Places(th.limit(0)).may_hold(st.F.col("th"))).count() == 0
