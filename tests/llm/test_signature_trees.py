@@ -180,3 +180,15 @@ def test_places_hold_all_they_were_given(spark):
         assert held >= {r.th for r in th.collect() if r.th % 3 == 0}
     assert len(held) < 1500
     assert th.filter(st.Places(th.limit(0)).may_hold(st.F.col("th"))).count() == 0
+
+
+def test_only_texts_in_doubt_move(spark, monkeypatch):
+    """Of 300 texts 10 are copies: the rows that the last join is given are these, not all."""
+    rows = [(i, f"text number {i} has words of its own {i * i}") for i in range(290)]
+    rows += [(300 + i, rows[i][1]) for i in range(10)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    held, made = st.Places.may_hold, []
+    monkeypatch.setattr(st.Places, "may_hold", lambda self, th: made.append(self) or held(self, th))
+    assert sorted(r.doc_id for r in st.keep_one(df).collect()) == list(range(290))
+    th = st._located(df, "doc_id", "text")
+    assert 10 <= th.filter(held(made[-1], st.F.col("th"))).count() < 60
