@@ -51,3 +51,34 @@ def test_early_stop_and_out_of_range_partitions(spark):
 def test_combiner_may_drop_a_key(spark):
     got = map_reduce(lines(spark), map_words, POSTINGS, combiner=lambda k, vs: [] if k == "bar" else vs, num_partitions=2)
     assert [k for k, _ in rows(got)] == ["baz", "foo"]
+
+
+def test_a_partition_of_a_large_input_is_several_tasks(spark, monkeypatch, tmp_path):
+    """Keys stay whole and in their partition, however many tasks it is."""
+    from keyloom.operators import mapreduce
+
+    monkeypatch.setattr(mapreduce, "TASK_BYTES", 1000)
+    words = [f"w{i % 300}" for i in range(3000)]
+    spark.createDataFrame([("d", " ".join(words[i : i + 10])) for i in range(0, 3000, 10)], "doc string, value string").write.parquet(str(tmp_path / "t"))
+    place = python_partition(lambda k, n: int(k[1:]))
+    seen = PythonReducer(lambda k, vs, p: [(k, sum(1 for _ in vs), p)], "key string, n int, p int")
+    got = map_reduce(spark.read.parquet(str(tmp_path / "t")), map_words, seen, partitioner=place, num_partitions=7)
+    assert got.rdd.getNumPartitions() > 7
+    assert rows(got) == sorted((f"w{i}", 10, i % 7) for i in range(300))
+
+
+@pytest.mark.parametrize("held", [1, 3, 10**6])
+def test_combining_takes_more_than_a_piece(spark, monkeypatch, held):
+    """One value a key and flush leaves the map task; the count of emits is that of the mapper."""
+    from pyspark.sql import functions as F
+
+    from keyloom.apps.word_count import add_up
+    from keyloom.operators import mapreduce
+
+    monkeypatch.setattr(mapreduce, "PIECE", 2)
+    monkeypatch.setattr(mapreduce, "HELD", held)
+    df = spark.createDataFrame([("a", "x y x z x"), ("b", "x y"), ("c", "")], "doc string, value string").coalesce(1)
+    found = mapreduce.emitted(df, map_ones, add_up)
+    assert found.agg(F.sum("emits")).first()[0] == 7
+    assert mapreduce.pairs_only(found).count() == {1: 7, 3: 5, 10**6: 3}[held]
+    assert rows(map_reduce(df, map_ones, SUM, combiner=add_up, num_partitions=2)) == [("x", 4), ("y", 2), ("z", 1)]
