@@ -17,6 +17,10 @@ def map_ones(value: str, doc: str) -> Iterator[tuple[str, str]]:
         yield word, "1"
 
 
+def add_up(key: str, values: list[str]) -> list[str]:
+    return [str(sum(map(int, values)))]
+
+
 def add(key: str, values: Iterator[str], partition: int) -> Iterator[tuple[str, int]]:
     yield key, sum(int(v) for v in values)
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from keyloom.apps.inverted_index import POSTINGS, dedup, map_words
-from keyloom.apps.word_count import SUM, map_ones
+from keyloom.apps.word_count import SUM, add_up, map_ones
 from keyloom.functions.hashing import djb2, djb2_mod
 from keyloom.functions.text import atoi, postings_line, tokens
 from keyloom.functions.udtf import register_udtfs
@@ -99,7 +99,7 @@ def word_count(spark, sf_dir):
 @register(_with(_W) + "SELECT word, count(*) AS n FROM w GROUP BY word")
 def word_count_udf(spark, sf_dir):
     rows = _docs(spark, sf_dir).select(F.col("source").alias("doc"), F.col("text").alias("value"))
-    return map_reduce(rows, map_ones, SUM, num_partitions=8)
+    return map_reduce(rows, map_ones, SUM, combiner=add_up, num_partitions=8)
 
 
 @register(_with(_W) + "SELECT source, word, count(*) AS n FROM w WHERE length(word) >= 12 GROUP BY source, word")
