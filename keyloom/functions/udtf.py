@@ -8,6 +8,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
 from keyloom.functions.text import MAX_TOKEN
+from keyloom.sources.tables import bounded_batches
 
 _WORD = re.compile(r"[0-9A-Za-z]+")
 
@@ -21,4 +22,6 @@ class Words:
 
 
 def register_udtfs(spark: SparkSession) -> None:
+    """The table functions; a worker holds a batch of texts, which is bounded by bytes."""
+    bounded_batches(spark)
     spark.udtf.register("words", udtf(Words, returnType="word string", useArrow=True))
