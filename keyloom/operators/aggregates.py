@@ -26,10 +26,12 @@ def sharded_index(df: DataFrame, text: str, doc: Column, shards: int) -> DataFra
 
     A document's shard is a hash of its name, so a word that all documents hold is
     spread over as many tasks and rows; a chunk's documents are distinct and in byte order.
+    Repetitions inside a row go before anything is shuffled, those across rows of one name in the end.
     """
-    found = tokens(df.select(doc.cast("string").alias("doc"), F.col(text).alias("_text")), "_text", "doc")
-    grouped = found.groupBy("word", F.pmod(F.xxhash64("doc"), F.lit(shards)).cast("int").alias("shard")).agg(F.collect_set("doc").alias("docs"))
-    return grouped.select("word", "shard", F.array_sort("docs").alias("docs"))
+    source = df.select(doc.cast("string").alias("doc"), F.col(text).alias("_text"))
+    found = source.select("doc", F.explode(distinct_token_array(F.col("_text"))).alias("word"))
+    grouped = found.groupBy("word", F.pmod(F.xxhash64("doc"), F.lit(shards)).cast("int").alias("shard")).agg(F.collect_list("doc").alias("docs"))
+    return grouped.select("word", "shard", F.array_sort(F.array_distinct("docs")).alias("docs"))
 
 
 def inverted_index(df: DataFrame, text: str, doc: Column, *, unique_docs: bool = False, combiner: bool = True) -> DataFrame:
