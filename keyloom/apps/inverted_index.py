@@ -16,8 +16,8 @@ _WORD = re.compile(r"[0-9A-Za-z]+")
 
 
 def map_words(value: str, doc: str) -> Iterator[tuple[str, str]]:
-    for m in _WORD.finditer(value):
-        yield m.group()[:255].lower(), doc
+    for word in _WORD.findall(value):
+        yield word[:255].lower(), doc
 
 
 def dedup(key: str, values: list[str]) -> Iterable[str]:
